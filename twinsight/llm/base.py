@@ -8,8 +8,11 @@ import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,17 +55,49 @@ def release(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Applies fn to each Arrow batch; Spark bounds a batch's rows and bytes."""
+#: Bytes of a slice that a Python function works on at once; a larger single row is a slice of its own.
+SLICE_BYTES = 8 << 20
+
+
+def slices(batch: pa.RecordBatch, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `most` bytes."""
+    parts = max(1, -(-batch.get_total_buffer_size() // most))
+    step = max(1, -(-batch.num_rows // parts))
+    for at in range(0, batch.num_rows, step):
+        yield batch.slice(at, step)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, slice_bytes: int = SLICE_BYTES) -> DataFrame:
+    """Applies fn to slices of each Arrow batch, so that memory follows neither partitions nor batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+            for part in slices(batch, slice_bytes):
+                if (out := fn(part)).num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
 
+def column_of(fn: Callable[..., np.ndarray]) -> Callable:
+    """A double column from Arrow columns, worked out slice by slice; for filters that keep all columns."""
+
+    def run(parts: Iterator) -> Iterator[pd.Series]:
+        for part in parts:
+            columns = part if isinstance(part, tuple) else (part,)
+            whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(c) for c in columns], [str(k) for k in range(len(columns))])
+            done = [fn(*piece.columns) for piece in slices(whole)]
+            yield pd.Series(np.concatenate(done) if done else np.zeros(0))
+
+    def one(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return run(parts)
+
+    def several(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        return run(parts)
+
+    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else several, "double")(*columns)
+
+
 def tokenizer_path(name: str) -> str:
     """Where this machine has a public vocabulary file; an absolute path stays as it is."""
     if os.path.isabs(name):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codec, embedding_dedup, simhash_dedup, token_counts
+from . import codec, cotraining, embedding_dedup, quality_rules, simhash_dedup, token_counts, toxicity
 from .base import table
 
 
@@ -22,6 +22,21 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.apply_rules(docs, quality_rules.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return cotraining.score_documents(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.round_trip(table(spark, sf_dir, "documents"))
 
@@ -30,6 +45,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_simhash_dedup": op3_simhash_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op6_quality_rules": op6_quality_rules,
+    "op8_quality_cotraining": op8_quality_cotraining,
     "op9_bpe_codec": op9_bpe_codec,
 }
 
