@@ -51,10 +51,15 @@ def tiles(vectors: DataFrame, n_tiles: int, payload: str | None = None) -> DataF
     return rows.groupBy("tile").applyInPandas(_packer(payload), "tile int, ids binary, groups binary, vectors binary, payload array<array<array<double>>>")
 
 
-def product(queries: DataFrame, corpus: DataFrame, kernel: Callable[[Tile, Tile], Iterator[pa.RecordBatch]], schema: str, tile_rows: int = TILE_ROWS, payload: str | None = None) -> DataFrame:
-    """kernel's rows over all pairs of query and corpus tiles."""
-    nq = max(1, math.ceil(queries.count() / tile_rows))
-    nc = max(1, math.ceil(corpus.count() / tile_rows))
+def count_rows(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
+    n = queries.count()
+    return n, n if corpus is queries else corpus.count()
+
+
+def product(queries: DataFrame, corpus: DataFrame, kernel: Callable[[Tile, Tile], Iterator[pa.RecordBatch]], schema: str, tile_rows: int = TILE_ROWS, payload: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
+    """kernel's rows over all pairs of query and corpus tiles; `sizes` are both sides' rows, if known."""
+    sizes = sizes or count_rows(queries, corpus)
+    nq, nc = (max(1, math.ceil(n / tile_rows)) for n in sizes)
     side = lambda t, s, key: t.select(F.col("tile").alias(key), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "groups", "vectors", "payload")))
     left = side(tiles(queries, nq, payload), "q", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
     right = side(tiles(corpus, nc), "c", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
@@ -144,7 +149,7 @@ def histogram(queries: DataFrame, corpus: DataFrame, low: float, step: float, bi
     return found.groupBy("same", "bin").agg(F.sum("n").alias("n"))
 
 
-def relevant_ranks(queries: DataFrame, corpus: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def relevant_ranks(queries: DataFrame, corpus: DataFrame, tile_rows: int = TILE_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(q, c, sim, rank) of each query's relevant rows: those of its group, itself excluded.
 
     rank is the place in the full ranking by descending cosine, ties by id.
@@ -157,7 +162,8 @@ def relevant_ranks(queries: DataFrame, corpus: DataFrame, tile_rows: int = TILE_
             i, j = np.nonzero((q.groups[rows][:, None] == c.groups) & (q.ids[rows][:, None] != c.ids))
             yield _batch({"q": q.ids[rows][i], "c": c.ids[j], "sim": sims[i, j]})
 
-    found = product(queries, corpus, members, "q long, c long, sim double", tile_rows)
+    sizes = sizes or count_rows(queries, corpus)
+    found = product(queries, corpus, members, "q long, c long, sim double", tile_rows, sizes=sizes)
     mine = found.groupBy(F.col("q").alias("id")).agg(F.collect_list(F.array(F.col("sim"), F.col("c").cast("double"))).alias("relevant"))
     asked = queries.join(mine, "id").select("id", "grp", "vector", "relevant")
 
@@ -175,5 +181,5 @@ def relevant_ranks(queries: DataFrame, corpus: DataFrame, tile_rows: int = TILE_
                 ties = np.array([int((named[a:b] < r).sum()) for a, b, r in zip(first, last, rel, strict=True)], np.int64)
                 yield _batch({"q": np.full(len(rel), own), "c": rel, "sim": want[:, 0], "before": above + ties})
 
-    counted = product(asked, corpus, places, "q long, c long, sim double, before long", tile_rows, "relevant")
+    counted = product(asked, corpus, places, "q long, c long, sim double, before long", tile_rows, "relevant", sizes)
     return counted.groupBy("q", "c").agg(F.max("sim").alias("sim"), (F.sum("before") + 1).alias("rank"))

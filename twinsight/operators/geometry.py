@@ -126,21 +126,28 @@ def normalise_abs(points: DataFrame) -> DataFrame:
 
 
 def cameras(spark: SparkSession, n_ring: int = RING_VIEWS, elevation: float = RING_ELEVATION) -> DataFrame:
-    """(view_idx, azimuth, elevation): the ring, then the 20 corners of a dodecahedron (cube, then rectangles)."""
-    phi = (1 + math.sqrt(5)) / 2
-    cube = [(x, y, z) for x in (-1.0, 1.0) for y in (-1.0, 1.0) for z in (-1.0, 1.0)]
-    planes = [p for s in (-1.0, 1.0) for t in (-1.0, 1.0) for p in ((0.0, s / phi, t * phi), (s / phi, t * phi, 0.0), (s * phi, 0.0, t / phi))]
-    corners = cube + sorted(planes, key=lambda p: (p[0] != 0, p[2] != 0 and p[0] != 0))
-    ring = spark.range(n_ring).select(F.col("id").cast("int").alias("view_idx"), (F.col("id") * 360.0 / n_ring).alias("azimuth"), F.lit(elevation).alias("elevation"))
-    rows = spark.createDataFrame([(n_ring + i, *p) for i, p in enumerate(corners)], "view_idx int, x double, y double, z double")
+    """(view_idx, azimuth, elevation): a ring, then the 20 corners of a dodecahedron; y points up.
+
+    The corners are those of a cube, signs counting up in binary, then for
+    each pair of signs one on each coordinate plane.
+    """
+    phi = F.lit((1 + math.sqrt(5)) / 2)
+    sign = lambda bit: (2 * F.pmod(F.floor(bit), F.lit(2)) - 1).cast("double")
+    n = F.col("id")
+    ring = spark.range(n_ring).select(n.cast("int").alias("view_idx"), (n * 360.0 / n_ring).alias("azimuth"), F.lit(elevation).alias("elevation"))
+    cube = spark.range(8).select((n + n_ring).cast("int").alias("view_idx"), sign(n / 4).alias("x"), sign(n / 2).alias("y"), sign(n).alias("z"))
+    long, short, plane = sign(n / 6) * phi, sign(n / 3) / phi, F.pmod(n, F.lit(3))
+    zero = F.lit(0.0)
+    pick = lambda a, b, c: F.when(plane == 0, a).when(plane == 1, b).otherwise(c)
+    planes = spark.range(12).select((n + n_ring + 8).cast("int").alias("view_idx"), pick(zero, sign(n / 6) / phi, long).alias("x"), pick(long, zero, short).alias("y"), pick(short, sign(n / 3) * phi, zero).alias("z"))
     r = F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2)
-    solid = rows.select("view_idx", F.pmod(F.degrees(F.atan2("y", "x")) + 360.0, F.lit(360.0)).alias("azimuth"), F.degrees(F.asin(F.col("z") / r)).alias("elevation"))
-    return ring.unionByName(solid)
+    corners = cube.unionByName(planes).select("view_idx", F.degrees(F.atan2("x", "z")).alias("azimuth"), F.degrees(F.asin(F.col("y") / r)).alias("elevation"))
+    return ring.unionByName(corners)
 
 
 def camera_position(azimuth: Column, elevation: Column, radius: Column) -> list[Column]:
     az, el = F.radians(azimuth), F.radians(elevation)
-    return [radius * F.cos(el) * F.cos(az), radius * F.cos(el) * F.sin(az), radius * F.sin(el)]
+    return [radius * F.cos(el) * F.sin(az), radius * F.sin(el), radius * F.cos(el) * F.cos(az)]
 
 
 def view_matrices(points: DataFrame, views: DataFrame) -> DataFrame:
@@ -153,9 +160,9 @@ def view_matrices(points: DataFrame, views: DataFrame) -> DataFrame:
         for r in part.itertuples():
             centre, radius = np.array([r.cx, r.cy, r.cz]), max(1.5 * r.diagonal, 0.5)
             az, el = math.radians(r.azimuth), math.radians(r.elevation)
-            eye = centre + radius * np.array([math.cos(el) * math.cos(az), math.cos(el) * math.sin(az), math.sin(el)])
+            eye = centre + radius * np.array([math.cos(el) * math.sin(az), math.sin(el), math.cos(el) * math.cos(az)])
             ahead = (centre - eye) / radius
-            up = np.array([0.0, 0.0, 1.0]) if abs(ahead[2]) < 0.999 else np.array([0.0, 1.0, 0.0])
+            up = np.array([0.0, 1.0, 0.0]) if abs(ahead[1]) < 0.999 else np.array([0.0, 0.0, 1.0])
             right = np.cross(ahead, up)
             right /= np.linalg.norm(right)
             frame = np.stack([right, np.cross(right, ahead), -ahead])

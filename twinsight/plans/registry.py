@@ -8,3 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None, name: str | None = None):
+    """Registers a function (spark, sf_dir) -> DataFrame; without sql its rows are held against brute force in tests."""
+
+    def add(fn):
+        key = name or fn.__name__
+        QUERIES[key] = fn
+        if sql is not None:
+            ORACLE_SQL[key] = sql
+        return fn
+
+    return add
+
+
+from . import accuracy, geometry, relational, rescoring, retrieval  # noqa: E402, F401
