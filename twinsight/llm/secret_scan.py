@@ -129,5 +129,7 @@ def redact(docs: DataFrame, owner: str = "source", repository: Column | None = N
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
     cut = F.aggregate(ordered, start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.lit(2**31 - 1))))
     text = F.when(F.col("_tw_live").isNotNull(), cut).otherwise(F.col("text"))
-    changed = {"text": text} | ({"n_chars": F.when(F.col("_tw_live").isNotNull(), F.char_length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
-    return joined.withColumns(changed).select(docs.columns)
+    done = joined.withColumn("_tw_text", text)
+    size = lambda c: F.when(F.col("_tw_live").isNotNull(), F.char_length("_tw_text").cast(docs.schema[c].dataType)).otherwise(F.col(c))
+    new = {"text": F.col("_tw_text").alias("text"), "n_chars": size("n_chars").alias("n_chars") if "n_chars" in docs.columns else None}
+    return done.select(*(new.get(c) if c in new else F.col(c) for c in docs.columns))

@@ -47,6 +47,7 @@ REPORTING = frozenset(
 )
 
 _words = re.compile(r"[^\W_]+").findall
+_quoted = re.compile(r'"[^"\n]{1,200}"|«[^»\n]{1,200}»|“[^”\n]{1,200}”|„[^“\n]{1,200}“').sub
 
 
 @dataclass
@@ -119,8 +120,9 @@ def entries_of(word: str) -> list[str]:
 
 
 def word_sets(texts: list[str]) -> list[set[str]]:
+    """Words of each text outside quotation marks: what is only quoted tells nothing about a word."""
     one: dict[str, str] = {}
-    return [{one.setdefault(w, w) for w in _words(text.lower())} for text in texts]
+    return [{one.setdefault(w, w) for w in _words(_quoted(" ", text.lower()))} for text in texts]
 
 
 def one_of_copies(sets: list[set[str]], y: np.ndarray) -> np.ndarray:
