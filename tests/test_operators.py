@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from twinsight.functions import verdicts
 from twinsight.functions.vectors import cosine, l2_normalise
-from twinsight.operators import aggregate, ann, audit, blocks, geometry, quality, rescore, retrieval, stats, truth
+from twinsight.functions.sql import register
+from twinsight.operators import aggregate, ann, audit, blocks, cluster, encode, geometry, quality, rescore, retrieval, stats, truth
 from twinsight.sources import manifests, sinks
 from twinsight.streaming import ingest
 
@@ -210,3 +211,35 @@ def test_plans_limit_before_they_shuffle(spark):
 def test_cosine_and_memory(spark):
     assert spark.range(1).select(cosine(F.array(F.lit(2.0), F.lit(0.0)), F.array(F.lit(1.0), F.lit(1.0))).alias("x")).first()["x"] == pytest.approx(2**-0.5)
     assert ann.memory_mb(1_000_000, 768, "flat") == pytest.approx(3072)
+
+
+def test_density_clusters(spark):
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(c, 0.1, (40, 2)) for c in ((0, 0), (5, 5), (9, 0))] + [rng.uniform(-30, 40, (8, 2))])
+    labels = cluster.density_labels(x)
+    assert len(set(labels[labels >= 0])) == 3 and (labels[120:] == -1).sum() >= 6
+    for k in range(3):
+        own = labels[40 * k : 40 * k + 40]
+        assert len(set(own[own >= 0])) == 1 and (own >= 0).mean() > 0.9
+    v = vectors(spark, [(i, i % 2, p) for i, p in enumerate(x)])
+    assert cluster.cluster(v).count() == len(x)
+
+
+def test_encoder_boundary(spark):
+    def make():
+        def embed(images):
+            if b"bad" in images:
+                raise ValueError("cannot read")
+            return np.array([[len(i), 1.0] for i in images])
+
+        return embed
+
+    rows = spark.createDataFrame([(1, 0, bytearray(b"xyz")), (1, 1, bytearray(b"bad")), (2, 0, None)], "model_id int, view_idx int, content binary")
+    got = {(r["model_id"], r["view_idx"]): r["embedding"] for r in encode.embed_views(rows, make).collect()}
+    assert got[1, 1] == got[2, 0] == [0.0, 1.0] and got[1, 0][0] == pytest.approx(3 / 10**0.5)
+
+
+def test_sql_functions(spark):
+    register(spark)
+    r = spark.sql("select vec_dot(array(1D, 2D), array(3D, 4D)) d, vec_cosine(array(1D, 0D), array(1D, 1D)) c, vec_normalise(array(0D, 0D)) z, safe_div(1D, 0D) s").first()
+    assert (r["d"], r["z"], r["s"]) == (11, [0, 0], 0) and r["c"] == pytest.approx(2**-0.5)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
@@ -31,17 +32,17 @@ def group_sizes(truth: DataFrame) -> DataFrame:
     return truth.join(sizes, "source_uid").select("model_id", "source_uid", "n_relevant")
 
 
-def negative_sample(truth: DataFrame, per_model: int, known: DataFrame | None = None, seed: str = "42", buckets: int = 16) -> DataFrame:
+def negative_sample(truth: DataFrame, per_model: int, known: DataFrame | None = None, seed: str = "42", bucket_rows: int = 64) -> DataFrame:
     """(a, b): up to per_model models of other sources for each model, as canonical distinct pairs.
 
-    Models are dealt into hash buckets and partners drawn from one bucket, in
-    hash order; the candidates stay far below all pairs. Pairs in `known`
-    (a, b) are left out.
+    Models are dealt into hash buckets of about bucket_rows, and partners are
+    drawn from a model's own bucket in hash order: candidates grow in
+    proportion to the models. Pairs in `known` (a, b) are left out.
     """
-    from pyspark.sql import Window as W
-
-    own = truth.select(F.col("model_id").alias("x"), F.col("source_uid").alias("sx"), F.pmod(F.xxhash64("model_id", F.lit(seed)), F.lit(buckets)).alias("bucket"))
-    other = truth.select(F.col("model_id").alias("y"), F.col("source_uid").alias("sy"), F.pmod(F.xxhash64("model_id", F.lit(seed)), F.lit(buckets)).alias("bucket"))
+    buckets = max(1, truth.count() // max(bucket_rows, 3 * per_model))
+    bucket = F.pmod(F.xxhash64("model_id", F.lit(seed)), F.lit(buckets)).alias("bucket")
+    own = truth.select(F.col("model_id").alias("x"), F.col("source_uid").alias("sx"), bucket)
+    other = truth.select(F.col("model_id").alias("y"), F.col("source_uid").alias("sy"), bucket)
     met = own.join(other, "bucket").where("sx <> sy")
     order = W.partitionBy("x").orderBy(F.xxhash64(F.lit(seed), F.least("x", "y"), F.greatest("x", "y")), "y")
     drawn = met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_model)
