@@ -84,7 +84,7 @@ def _batch(columns: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v) for v in columns.values()], list(columns))
 
 
-def nearest(queries: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+def nearest(queries: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(q, c, sim, rank): the k most similar corpus rows of each query, itself excluded; ties by id.
 
     Each tile pair keeps its own k best; the rest is a grouped limit.
@@ -102,7 +102,7 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE
             fine = np.isfinite(sims[i, j])
             yield _batch({"q": own[i[fine]], "c": c.ids[j[fine]], "sim": sims[i[fine], j[fine]]})
 
-    found = product(queries, corpus, kernel, "q long, c long, sim double", tile_rows)
+    found = product(queries, corpus, kernel, "q long, c long, sim double", tile_rows, sizes=sizes)
     order = W.partitionBy("q").orderBy(F.round("sim", 12).desc(), "c")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

@@ -34,13 +34,13 @@ def chamfer_hausdorff_blocked(spark: SparkSession, d: str) -> DataFrame:
     return geometry.cloud_distances_blocked(_pairs(m), clouds).select("a", "b", F.round("chamfer", 6).alias("chamfer"), F.round("hausdorff", 6).alias("hausdorff"))
 
 
-@query(f"""{_P}, g as (select model_id, case when model_id % 9 = 4 then 0.0 else sqrt(list_dot_product(e[1:8], e[1:8])) end as area, e[9] as volume from m)
+@query(f"""{_P}, g as (select model_id, case when e[10] < -0.2 then 0.0 else sqrt(list_dot_product(e[1:8], e[1:8])) end as area, e[9] as volume from m)
 select a, b, round(case when x.area > 0 and y.area > 0 then 1 - least(x.area, y.area) / greatest(x.area, y.area) end, 6) as area_distance,
 round(case when x.area > 0 and y.area > 0 then 1 - (least(x.area, y.area) / greatest(x.area, y.area) + (least(abs(x.volume), abs(y.volume)) + 1e-10) / (greatest(abs(x.volume), abs(y.volume)) + 1e-10)) / 2 end, 6) as area_volume_distance
 from pr join g x on x.model_id = a join g y on y.model_id = b""")
 def area_ratio(spark: SparkSession, d: str) -> DataFrame:
     m = models(spark, d)
-    g = m.select("model_id", F.when(F.col("model_id") % 9 == 4, 0.0).otherwise(norm(view_of("e", F.lit(0)))).alias("area"), F.col("e")[8].alias("volume"))
+    g = m.select("model_id", F.when(F.col("e")[9] < -0.2, 0.0).otherwise(norm(view_of("e", F.lit(0)))).alias("area"), F.col("e")[8].alias("volume"))
     both = _pairs(m).join(g.toDF("a", "xa", "xv"), "a").join(g.toDF("b", "ya", "yv"), "b")
     c = [F.col(k) for k in ("xa", "ya", "xv", "yv")]
     return both.select("a", "b", F.round(geometry.area_distance(c[0], c[1]), 6).alias("area_distance"), F.round(geometry.area_volume_distance(*c), 6).alias("area_volume_distance"))

@@ -26,6 +26,11 @@ def size_profile_part(spark: SparkSession, d: str) -> DataFrame:
     return _profile(table(spark, d, "part"), "p_size")
 
 
+@query(_profile_sql("n_chars", "documents"))
+def size_profile_documents(spark: SparkSession, d: str) -> DataFrame:
+    return _profile(table(spark, d, "documents"), "n_chars")
+
+
 @query("select round(avg(value), 6) as mean, round(median(value), 6) as median, round(max(value), 6) as longest from events")
 def duration_stats(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").agg(F.round(F.avg("value"), 6).alias("mean"), F.round(F.median("value"), 6).alias("median"), F.round(F.max("value"), 6).alias("longest"))
@@ -57,11 +62,11 @@ def resume_antijoin(spark: SparkSession, d: str) -> DataFrame:
     return sinks.remaining(table(spark, d, "orders").select("o_orderkey"), done, ["o_orderkey"])
 
 
-@query("""with n as (select s_suppkey as k, -s_acctbal as v from supplier where s_suppkey % 3 = 0 union all select 1000000 + s_suppkey, s_acctbal from supplier where s_suppkey % 5 = 0)
+@query("""with n as (select s_suppkey as k, -s_acctbal as v from supplier where s_acctbal < 0 union all select 1000000 + s_suppkey, s_acctbal from supplier where s_acctbal > 5000)
 select k, v from n union all select s_suppkey, s_acctbal from supplier where s_suppkey not in (select k from n)""")
 def results_upsert(spark: SparkSession, d: str) -> DataFrame:
     old = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("v"))
-    new = old.where("k % 3 = 0").select("k", (-F.col("v")).alias("v")).unionByName(old.where("k % 5 = 0").select((F.col("k") + 1000000).alias("k"), "v"))
+    new = old.where("v < 0").select("k", (-F.col("v")).alias("v")).unionByName(old.where("v > 5000").select((F.col("k") + 1000000).alias("k"), "v"))
     return sinks.upsert(old, new, ["k"])
 
 

@@ -88,6 +88,14 @@ def view_sweep(spark: SparkSession, d: str) -> DataFrame:
     return rescore.sweep(evidence, screen, m, _asked(m), [2], [2, 4, 6, 8])
 
 
+@query(f"select 'ev' || min_evidence || '_v' || n_views as run_tag, tp, fp, relevant, precision, recall, f1 from ({_sweep_sql([4, 8], '(values (2), (4), (6))')})")
+def ablation_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each configuration of stored evidence: one job where a process for each configuration ran before."""
+    m, screen, evidence, _ = _run(spark, d)
+    rows = rescore.sweep(evidence, screen, m, _asked(m), [2, 4, 6], [4, 8])
+    return rows.select(F.format_string("ev%d_v%d", "min_evidence", "n_views").alias("run_tag"), "tp", "fp", "relevant", "precision", "recall", "f1")
+
+
 @query(f"""with {STAGED} select count(*) as rejected, count(*) filter (rel.q is null) as true_negatives, count(*) filter (rel.q is not null) as false_negatives, 8 * count(*) as saved_calls
 from res left join rel using (q, c) where stage2 = 'DIFFERENT'""")
 def stage2_quality(spark: SparkSession, d: str) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.vectors import cosine, dot, l2_normalise
+from ..functions.vectors import dot, l2_normalise
 from ..operators import aggregate, ann, blocks, retrieval, stats, truth
 from .fixtures import M, PAIRS, RANKED, models, sources, table, vectors, views
 from .registry import query
@@ -30,10 +30,10 @@ def relevance_groups(spark: SparkSession, d: str) -> DataFrame:
     return truth.group_sizes(_truth(models(spark, d)))
 
 
-@query(f"with {M}, k as (select * from m where model_id % 3 <> 0), i as (select vec_id as model_id from embeddings) select i.model_id, coalesce(k.source_uid, i.model_id) as source_uid, k.tier, coalesce(k.is_source, false) as is_source from i left join k using (model_id)")
+@query(f"with {M}, k as (select * from m where split = 'train'), i as (select vec_id as model_id from embeddings) select i.model_id, coalesce(k.source_uid, i.model_id) as source_uid, k.tier, coalesce(k.is_source, false) as is_source from i left join k using (model_id)")
 def resolve_unknown(spark: SparkSession, d: str) -> DataFrame:
     m = models(spark, d)
-    return truth.resolve_sources(m.select("model_id"), _truth(m.where("model_id % 3 <> 0"))).select("model_id", "source_uid", "tier", "is_source")
+    return truth.resolve_sources(m.select("model_id"), _truth(m.where("split = 'train'"))).select("model_id", "source_uid", "tier", "is_source")
 
 
 _LONG = "select model_id, (d - 1)::int as dim, round(val / greatest(sqrt(sum(val * val) over (partition by model_id)), 1e-8), 6) as val from x"
@@ -68,22 +68,23 @@ def agg_concat(spark: SparkSession, d: str) -> DataFrame:
     return aggregate.long_form(aggregate.describe(views(models(spark, d)), "concat"))
 
 
-@query(f"with {M}, x as (select model_id, d, case when model_id % 7 = 0 then 0.0 else 3 * e[d] end as val from m cross join range(1, 65) k(d)) {_LONG}")
+@query(f"with {M}, x as (select model_id, d, 3 * e[d] as val from m cross join range(1, 65) k(d)) {_LONG}")
 def l2_normalised(spark: SparkSession, d: str) -> DataFrame:
-    scaled = models(spark, d).select("model_id", F.transform("e", lambda x: F.when(F.col("model_id") % 7 == 0, 0.0).otherwise(3 * x)).alias("e"))
+    scaled = models(spark, d).select("model_id", F.transform("e", lambda x: 3 * x).alias("e"))
     return aggregate.long_form(scaled.select("model_id", l2_normalise("e").alias("emb")))
 
 
 @query(f"""with {M}, mean as (select d, avg(e[d]) as mu from m cross join range(1, 65) k(d) group by d),
-c as (select model_id, list(e[d] - mu order by d) as e from m cross join mean where is_source group by model_id)
-select a.model_id as q, b.model_id as c, round(list_cosine_similarity(a.e, b.e), 6) as sim from c a join c b on a.model_id < b.model_id""")
+c as (select model_id, list(e[d] - mu order by d) as e from m cross join mean group by model_id),
+r as (select a.model_id as q, b.model_id as c, list_cosine_similarity(a.e, b.e) as sim, row_number() over (partition by a.model_id order by round(list_cosine_similarity(a.e, b.e), 12) desc, b.model_id) as k from c a join c b on a.model_id <> b.model_id)
+select q, c, round(sim, 6) as sim from r where k <= 5""")
 def agg_concat_pca_full(spark: SparkSession, d: str) -> DataFrame:
-    """All components: a rotation, so cosines are those of centred vectors."""
+    """All components: a rotation, so neighbours are those of centred vectors."""
     m = models(spark, d)
+    rows = m.count()
     out, _ = aggregate.pca(aggregate.describe(views(m), "concat", normalise=False), 768)
-    own = out.join(m.where("is_source").select("model_id"), "model_id")
-    a, b = own.toDF("q", "x"), own.toDF("c", "y")
-    return a.join(b, F.col("q") < F.col("c")).select("q", "c", F.round(cosine("x", "y"), 6).alias("sim"))  # sources only
+    v = out.select(F.col("model_id").alias("id"), F.lit(0).cast("long").alias("grp"), F.col("emb").alias("vector"))
+    return blocks.nearest(v, v, 5, sizes=(rows, rows)).select("q", "c", F.round("sim", 6).alias("sim"))
 
 
 @query()
@@ -92,13 +93,13 @@ def agg_concat_pca_k8(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(i, round(float(s), 6)) for i, s in enumerate(shares)], "component int, share double")
 
 
-@query(f"""with {M}, v as (select model_id, v::int as view_idx, model_id || '/' || v as path from m cross join range(8) r(v) where (model_id + v) % 3 <> 0 and model_id % 10 <> 9)
+@query(f"""with {M}, v as (select model_id, v::int as view_idx, model_id || '/' || v as path from m cross join range(8) r(v) where e[8*v+1] > 0.05)
 select a.model_id, r.v::int as view_idx, coalesce(b.path, a.first_path) as path
 from (select model_id, min_by(path, view_idx) as first_path from v group by model_id) a cross join range(8) r(v) left join v b on b.model_id = a.model_id and b.view_idx = r.v""")
 def fill_missing_views(spark: SparkSession, d: str) -> DataFrame:
     m = models(spark, d)
-    have = views(m).select("model_id", "view_idx", F.concat_ws("/", F.col("model_id").cast("string"), F.col("view_idx").cast("string")).alias("path"))
-    have = have.where("(model_id + view_idx) % 3 <> 0 and model_id % 10 <> 9")
+    have = views(m).where("emb[0] > 0.05")  # the others count as not rendered
+    have = have.select("model_id", "view_idx", F.concat_ws("/", F.col("model_id").cast("string"), F.col("view_idx").cast("string")).alias("path"))
     return aggregate.fill_views(have, m, 8)
 
 
@@ -182,19 +183,7 @@ def negative_sample(spark: SparkSession, d: str) -> DataFrame:
     return truth.negative_sample(_truth(models(spark, d)), 20)
 
 
-@query(f"""with {M}, n as (select a.model_id as a, b.model_id as b, row_number() over (partition by a.model_id order by md5('42:' || a.model_id || ':' || b.model_id), b.model_id) as k
-from m a join m b on a.source_uid <> b.source_uid where a.is_source) select distinct least(a, b) as a, greatest(a, b) as b from n where k <= 20""")
-def negative_sample_sources(spark: SparkSession, d: str) -> DataFrame:
-    """Of the sources, one for each label, against all: a few rows on one side."""
-    m = models(spark, d)
-    own = sources(m).select(F.col("model_id").alias("a"), F.col("source_uid").alias("ga"))
-    met = own.join(m.select(F.col("model_id").alias("b"), F.col("source_uid").alias("gb")), F.col("ga") != F.col("gb"))
-    h = F.md5(F.concat_ws(":", F.lit("42"), F.col("a").cast("string"), F.col("b").cast("string")))
-    drawn = met.withColumn("k", F.row_number().over(W.partitionBy("a").orderBy(h, "b"))).where("k <= 20")
-    return drawn.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-@query(f"""with {M}, e as (select a.model_id as q, b.model_id as c, a.source_uid = b.source_uid as rel, 1 - list_dot_product(a.e, b.e) as dist from m a join m b on a.model_id <> b.model_id where (a.source_uid + b.model_id + a.model_id) % 4 = 0),
+@query(f"""with {M}, e as (select a.model_id as q, b.model_id as c, a.source_uid = b.source_uid as rel, 1 - list_dot_product(a.e, b.e) as dist from m a join m b on a.model_id <> b.model_id where list_dot_product(a.e, b.e) >= 0.1),
 p as (select q, count(*) as pool from e group by q having count(*) >= 10),
 r as (select e.*, row_number() over (partition by q order by round(dist, 12), c) as rnk from e join p using (q)),
 h as (select q, rnk, row_number() over (partition by q order by rnk) as hit from r where rel),
@@ -204,8 +193,8 @@ def sparse_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation on an edge list: absent pairs are out of reach, their relevant items still count."""
     m = models(spark, d)
     v = vectors(m)
-    edges = blocks.similar(v, v, -2.0).join(m.select(F.col("model_id").alias("q"), F.col("source_uid").alias("gq")), "q").join(m.select(F.col("model_id").alias("c"), F.col("source_uid").alias("gc")), "c")
-    edges = edges.where("(gq + c + q) % 4 = 0").withColumn("pool", F.count("*").over(W.partitionBy("q")))
+    edges = blocks.similar(v, v, 0.1).join(m.select(F.col("model_id").alias("q"), F.col("source_uid").alias("gq")), "q").join(m.select(F.col("model_id").alias("c"), F.col("source_uid").alias("gc")), "c")
+    edges = edges.withColumn("pool", F.count("*").over(W.partitionBy("q")))
     ranked = edges.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.round(1 - F.col("sim"), 12), "c")))
     pool = ranked.groupBy("q").agg(F.max("pool").alias("pool"))
     sizes = truth.group_sizes(m.select("model_id", "source_uid")).select(F.col("model_id").alias("q"), "n_relevant").join(pool, "q")
