@@ -243,3 +243,18 @@ def test_sql_functions(spark):
     register(spark)
     r = spark.sql("select vec_dot(array(1D, 2D), array(3D, 4D)) d, vec_cosine(array(1D, 0D), array(1D, 1D)) c, vec_normalise(array(0D, 0D)) z, safe_div(1D, 0D) s").first()
     assert (r["d"], r["z"], r["s"]) == (11, [0, 0], 0) and r["c"] == pytest.approx(2**-0.5)
+
+
+def test_windows_of_a_stream_are_those_of_the_batch(spark, tmp_path):
+    rows = spark.range(300).select(F.timestamp_seconds(1_700_000_000 + F.col("id") * 97).alias("ts"), (F.col("id") % 3).cast("string").alias("event_type"), F.col("id").cast("double").alias("value"))
+    rows.repartition(4).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = ingest.windowed(stream, "1 hour", delay="30 days").writeStream.outputMode("complete").format("memory").queryName("windows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert {tuple(r) for r in spark.table("windows").collect()} == {tuple(r) for r in ingest.windowed(rows, "1 hour").collect()}
+    dup = rows.select("ts", "event_type").unionByName(rows.select("ts", "event_type"))
+    dup.repartition(2).write.parquet(str(tmp_path / "dup"))
+    once = ingest.deduplicated(spark.readStream.schema(dup.schema).parquet(str(tmp_path / "dup")), ["ts", "event_type"], "30 days")
+    q = once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert spark.table("once").count() == 300

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import audit, blocks, calibrate
+from ..operators import audit, blocks, calibrate, cluster
 from .fixtures import M, PAIRS, models, vectors
 from .registry import query
 
@@ -114,3 +114,10 @@ def category_impact(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {M} select split, coalesce(tier, 'source') as tier, count(*) as n from m group by 1, 2")
 def split_counts(spark: SparkSession, d: str) -> DataFrame:
     return models(spark, d).groupBy("split", F.coalesce("tier", F.lit("source")).alias("tier")).agg(F.count("*").alias("n"))
+
+
+@query()
+def density_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Clusters and noise of each label's vectors."""
+    found = cluster.cluster(vectors(models(spark, d)), 5, 3)
+    return found.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.count_if(F.col("cluster") < 0).alias("n_noise"))
