@@ -163,7 +163,7 @@ def build_lexicon(sets: list[set[str]], y: np.ndarray) -> tuple[Trie, set[str],
             clean.update({e for w in words for e in entries_of(w) if e in toxic})
     for word in {w for words, label in zip(sets, y, strict=True) if label == 1 for w in words}:
         forms.update(e for e in entries_of(word) if e in toxic)
-    bar = 2 * math.log(max(2, len(toxic))) + 6
+    bar = 2 * math.log(max(2, len(toxic))) - 2
     found = {}
     for e, n in toxic.items():
         odds, ratio = evidence(n, clean[e], n1, n0)
