@@ -9,7 +9,6 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,23 +78,23 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], s
     return df.mapInArrow(run, schema)
 
 
-def column_of(fn: Callable[..., np.ndarray]) -> Callable:
+def column_of(fn: Callable[..., np.ndarray], slice_bytes: int = SLICE_BYTES) -> Callable:
     """A double column from Arrow columns, worked out slice by slice; for filters that keep all columns."""
 
-    def run(parts: Iterator) -> Iterator[pd.Series]:
+    def run(parts: Iterator) -> Iterator[pa.Array]:
         for part in parts:
             columns = part if isinstance(part, tuple) else (part,)
-            whole = pa.RecordBatch.from_arrays([pa.Array.from_pandas(c) for c in columns], [str(k) for k in range(len(columns))])
-            done = [fn(*piece.columns) for piece in slices(whole)]
-            yield pd.Series(np.concatenate(done) if done else np.zeros(0))
+            whole = pa.RecordBatch.from_arrays(list(columns), [str(k) for k in range(len(columns))])
+            done = [fn(*piece.columns) for piece in slices(whole, slice_bytes)]
+            yield pa.array(np.concatenate(done) if done else np.zeros(0))
 
-    def one(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def one(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         return run(parts)
 
-    def several(parts: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+    def several(parts: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
         return run(parts)
 
-    return lambda *columns: F.pandas_udf(one if len(columns) == 1 else several, "double")(*columns)
+    return lambda *columns: F.arrow_udf(one if len(columns) == 1 else several, "double")(*columns)
 
 
 def tokenizer_path(name: str) -> str:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import column_of, map_batches
-from .hashed import Linear, Scorer, fit_linear, matrix, rows_of
+from .hashed import SLICE_BYTES, Linear, Scorer, fit_linear, matrix, rows_of
 from .training import Sample, labelled_sample, logistic, per_worker, platt, sigmoid
 from .wordbatch import Words, byte_counts, byte_table
 
@@ -154,11 +154,11 @@ def score_documents(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) ->
         p = shared.value.scores(per_worker(shared, Model.scorer), *batch.columns[1:])
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= keep_at)], ["doc_id", "score", "kept"])
 
-    return map_batches(docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")), run, "doc_id long, score double, kept boolean")
+    return map_batches(docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")), run, "doc_id long, score double, kept boolean", SLICE_BYTES)
 
 
 def keep_good(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:
     """The rows of docs that score at least keep_at, all columns as they are, without a shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rated = column_of(lambda *columns: shared.value.scores(per_worker(shared, Model.scorer), *columns))
+    rated = column_of(lambda *columns: shared.value.scores(per_worker(shared, Model.scorer), *columns), SLICE_BYTES)
     return docs.where(rated("text", "lang", "source", F.col("n_chars").cast("long")) >= keep_at)

@@ -18,6 +18,8 @@ SIZE = 1 << BITS
 CHAR_N = 3
 #: Factor that mixes two words' hashes into a pair's.
 PAIR = 1_000_003
+#: Bytes of text scored at once: character n-grams take some forty times as much for a moment.
+SLICE_BYTES = 2 << 20
 
 
 def word_bucket(word: str) -> int:
@@ -99,7 +101,7 @@ class Scorer:
     def __init__(self, model: Linear):
         self.words, self.pairs, self.chars = (model.beta[k * SIZE : (k + 1) * SIZE] for k in range(3))
         self.bias = model.bias
-        self.memo = Memo(lambda w: (word_bucket(w), np.array(char_buckets(w), np.int64)), 100_000)
+        self.memo = Memo(lambda w: (word_bucket(w), np.array(char_buckets(w), np.int32)), 50_000)
 
     def scores(self, words: Words) -> np.ndarray:
         n = len(words.counts)

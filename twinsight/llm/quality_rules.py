@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .base import map_batches
-from .hashed import Linear, Scorer, fit_linear, matrix, rows_of
+from .hashed import SLICE_BYTES, Linear, Scorer, fit_linear, matrix, rows_of
 from .training import Sample, folds, labelled_sample, per_worker, platt, sigmoid
 from .wordbatch import Words, byte_counts, byte_table, word_char_table
 
@@ -93,4 +93,4 @@ def apply_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> Data
         return pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "probability", "kept"])
 
     schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
-    return map_batches(docs.select("doc_id", "text"), run, schema)
+    return map_batches(docs.select("doc_id", "text"), run, schema, SLICE_BYTES)

@@ -194,7 +194,7 @@ class Matcher:
 
     def __init__(self, trie: Trie, innocent: set[str]):
         self.trie, self.innocent = trie, innocent
-        self.unit = Memo(self._unit)
+        self.unit = Memo(self._unit, 60_000)
 
     def _unit(self, unit: str) -> tuple:
         """(words, sum of weights, greatest weight, exact, misspelled, quote mark, reporting word) of a stretch without spaces."""

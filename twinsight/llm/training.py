@@ -135,15 +135,13 @@ def platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
 
 
 def per_worker(shared, make: Callable):
-    """What a worker derives from a broadcast model, made once for each model."""
-    key = (make.__module__, make.__qualname__)
-    held = _held.get(key)
-    if held is None or held[0] is not shared.value:
-        held = _held[key] = (shared.value, make(shared.value))
-    return held[1]
+    """What a worker derives from a broadcast model, made once; only the latest model's is held."""
+    if not _held or _held[0] is not shared.value:
+        _held[:] = [shared.value, make(shared.value)]
+    return _held[1]
 
 
-_held: dict = {}
+_held: list = []
 
 
 def folds(n: int, k: int) -> np.ndarray:
