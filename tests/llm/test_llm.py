@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from twinsight.llm import bpe, codec, cotraining, embedding_dedup, links, packing, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity, warc
+from twinsight.llm import bpe, codec, cotraining, embedding_dedup, hashed, links, packing, quality_rules, secret_scan, simhash_dedup, token_counts, toxicity, warc
 from twinsight.llm.training import Sample, labelled_sample
 from twinsight.llm.wordbatch import Words
 
@@ -310,6 +310,28 @@ def test_classifiers_without_labels(spark):
     assert toxicity.keep_clean(d, toxicity.train(d, none)).count() == len(EDGES)
 
 
+def test_staged_features_are_those_of_the_text():
+    texts = [t for _, t in EDGES] + ["the " * 700 + "end"]
+    words, model = Words(pa.array(texts)), hashed.Linear(np.random.default_rng(3).normal(size=3 * hashed.SIZE), 0.25)
+    packed = hashed.pack_features(words, hashed.word_memo())
+    whole = hashed.unpack_features(*packed, words.counts)
+    assert np.allclose(model.of_features(whole), hashed.Scorer(model).scores(words)) and np.allclose(model.of_features(whole), model.of_features(hashed.matrix(texts)))
+    part = hashed.unpack_features(*(c.slice(3, 4) for c in packed), words.counts[3:7])
+    assert np.allclose(model.of_features(part), model.of_features(whole)[3:7])
+
+
+def test_all_unlabelled_documents_take_part_in_cotraining(spark):
+    r = random.Random(8)
+    good, bad = [f"sound{i}" for i in range(40)], [f"junk{i}" for i in range(40)]
+    d = docs(spark, [(i, " ".join(r.choices(good if i % 2 else bad, k=30)) + (" !!" if not i % 2 else "")) for i in range(2400)])
+    lab = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, quality int")
+    model = cotraining.train(d, lab)
+    assert [n for n, _, _ in model.rounds] == [2200] * cotraining.ROUNDS
+    assert all(min(to_content, to_meta) >= 0.1 * (k + 1) * 2200 - 2 for k, (_, to_content, to_meta) in enumerate(model.rounds))
+    one, two = (f.toPandas().sort_values("doc_id") for f in (cotraining.classify(d, lab), cotraining.score_documents(d, model)))
+    assert np.allclose(one.score, two.score) and (one.kept.to_numpy() == (one.doc_id % 2 == 1).to_numpy()).all()
+
+
 # 5 packing
 
 

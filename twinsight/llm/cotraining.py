@@ -2,32 +2,39 @@
 
 The text view is a hashed n-gram model of the words. The metadata view sees
 lang, source, length and the shape of the page (lines, capitals, digits,
-punctuation, repetition), never a word. Over some rounds each labels the
-unlabelled documents it is surest about for the other. Each view is then
-calibrated on labelled documents held out from both, and a logistic
+punctuation, repetition), never a word. Both views' features of every
+document are worked out once and staged. In each round both views score all
+unlabelled documents, and each labels the share it is surest about for the
+other; the fits add up gradients over all of these rows in Spark. Each view
+is then calibrated on labelled documents held out from both, and a logistic
 regression of the two calibrated log odds scores every document.
 """
 
 from __future__ import annotations
 
 import zlib
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import column_of, map_batches
-from .hashed import SLICE_BYTES, Linear, Scorer, fit_linear, matrix, rows_of
-from .training import Sample, labelled_sample, logistic, per_worker, platt, sigmoid
+from .base import column_of, map_batches, new_path, slices
+from .hashed import SIZE, SLICE_BYTES, Linear, Scorer, matrix, pack_features, rows_of, unbinary, unpack_features, word_memo
+from .training import Sample, Sparse, labelled_sample, logistic, per_worker, platt, sigmoid, sparse_logistic
 from .wordbatch import Words, byte_counts, byte_table
 
 ROUNDS = 3
-#: Part of the unlabelled pool that a view labels for the other in each round, surest first, classes in proportion.
+#: Part of all unlabelled documents that a view labels for the other, surest first, classes in proportion; grows by this much each round.
 CONFIDENT = 0.1
-#: Bounds of what the views are fitted on: labelled documents of each class, and unlabelled documents.
-PER_CLASS, POOL = 800, 1000
+#: Steps of each round's fit, each a sum over all pseudo-labelled rows; together those weigh this much of the labelled ones.
+STEPS, PSEUDO = 8, 0.5
+#: Bins of a view's scores, and the scores between which they lie.
+BINS, REACH = 8192, 32.0
+#: Bound of the labelled documents of each class that the views are fitted on.
+PER_CLASS = 800
 KEEP_AT = 0.5
 SOURCE_BUCKETS, LANG_BUCKETS = 16, 8
 
@@ -46,7 +53,7 @@ def page_metadata(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.
     shares = [byte_counts(text, t) / np.maximum(size, 1) for t in _tables]
     n = words.counts.astype(float)
     repeated = words.repeated(3) / np.maximum(n, 1)
-    own = np.unique(np.stack([words.owner(), words.index]), axis=1)[0] if len(words.index) else np.zeros(0, np.int64)
+    own = np.unique(words.owner() * len(words.words) + words.index) // max(1, len(words.words))
     distinct = np.bincount(own, minlength=len(n)) / np.maximum(n, 1)
     word_size = size / np.maximum(n, 1)
     shape = np.column_stack([np.log1p(np.maximum(chars, 0)), np.log1p(size), np.log1p(n), *(10 * np.sqrt(s) for s in shares), repeated, distinct, np.log1p(word_size), n < 20])
@@ -60,6 +67,7 @@ class Model:
     scale: np.ndarray
     calibration: np.ndarray  # slope and intercept of each view
     combine: np.ndarray
+    rounds: list = field(default_factory=list)  # of each: unlabelled documents scored, labels given to content, to meta
 
     def scorer(self) -> Scorer | None:
         return Scorer(self.content) if self.content else None
@@ -80,66 +88,236 @@ def meta_logit(x: np.ndarray, beta: np.ndarray, scale: np.ndarray) -> np.ndarray
     return ((x - scale[0]) / scale[1]) @ beta[:-1] + beta[-1]
 
 
-def surest(z: np.ndarray, open_: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
-    """Positions and labels of the open rows that a view is surest about, classes at the given rate of ones."""
-    at = np.flatnonzero(open_)
-    n = int(CONFIDENT * len(z))
-    ones = min(round(n * rate), len(at))
-    order = at[np.lexsort((at, z[at]))]
-    zeros = min(n - ones, len(at) - ones)
-    high, low = order[len(order) - ones :], order[:zeros]
-    high, low = high[z[high] > 0], low[z[low] < 0]
-    return np.concatenate([high, low]), np.concatenate([np.ones(len(high)), np.zeros(len(low))])
+FEATURES = "doc_id long, gaps binary, counts binary, large binary, n_words int, meta binary"
 
 
-def fit(sample: Sample, rounds: int = ROUNDS) -> Model:
+def _stage(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    path = new_path(df.sparkSession, what)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def _delete(spark, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def stage_features(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Both views' features of each document, with a row number, staged; and where."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc_id, text, lang, source, n_chars = batch.columns
+        words = Words(text)
+        x = page_metadata(text, lang, source, n_chars, words)
+        meta = pa.array([row.tobytes() for row in x], pa.binary())
+        columns = [doc_id, *pack_features(words, _memo()), pa.array(words.counts, pa.int32()), meta]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "gaps", "counts", "large", "n_words", "meta"])
+
+    rows = map_batches(docs.select("doc_id", "text", "lang", "source", F.col("n_chars").cast("long")), run, FEATURES, SLICE_BYTES)
+    return _stage(rows.withColumn("row", F.monotonically_increasing_id()), "features")
+
+
+_memos: list = []
+
+
+def _memo():
+    if not _memos:
+        _memos.append(word_memo())
+    return _memos[0]
+
+
+def _views(batch: pa.RecordBatch) -> tuple[Sparse, np.ndarray]:
+    gaps, counts, large, n_words, meta = (batch.column(c) for c in ("gaps", "counts", "large", "n_words", "meta"))
+    x = unbinary(meta, np.float64)[0].reshape(batch.num_rows, -1)
+    return unpack_features(gaps, counts, large, n_words.to_numpy(zero_copy_only=False)), x
+
+
+def labelled_rows(features: DataFrame, known: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the rows that have a label: row >> 5, ascending, and 32 bits of each; a bit for each document at most."""
+    rows = features.select("doc_id", "row").join(known.select("doc_id").distinct(), "doc_id").select("row")
+    bits = rows.groupBy(F.shiftright("row", 5).alias("k")).agg(F.expr("bit_or(shiftleft(1L, cast(row & 31 as int)))").alias("bits")).toPandas().sort_values("k")
+    return bits["k"].to_numpy(np.int64), bits["bits"].to_numpy(np.int64)
+
+
+def _unlabelled(row: np.ndarray, bits: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    keys, words = bits
+    if not len(keys):
+        return np.ones(len(row), bool)
+    at = np.minimum(np.searchsorted(keys, row >> 5), len(keys) - 1)
+    return ~((keys[at] == row >> 5) & ((words[at] >> (row & 31)) & 1 == 1))
+
+
+#: Values of sums that one row carries.
+CHUNK = 1 << 14
+
+
+def sums(rows: DataFrame, of: Callable[[pa.RecordBatch], list[np.ndarray]]) -> list[np.ndarray]:
+    """Sums of the flat arrays that `of` makes of slices; nothing for no rows.
+
+    Added up in each task and then, chunk by chunk, behind a shuffle: the
+    driver gets one copy, however many tasks there are.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for part in slices(batch, SLICE_BYTES):
+                if part.num_rows:
+                    new = of(part)
+                    total = new if total is None else [a + b for a, b in zip(total, new, strict=True)]
+        for k, a in enumerate(total or []):
+            for at in range(0, len(a), CHUNK):
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([np.asarray(a[at : at + CHUNK], float).tobytes()], pa.binary())], ["k", "at", "part"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(part, float) for part in table["part"].to_pylist())
+        return pa.table({"k": table["k"][:1], "at": table["at"][:1], "part": pa.array([total.tobytes()], pa.binary())})
+
+    schema = "k int, at int, part binary"
+    found = sorted(rows.mapInArrow(run, schema).groupBy("k", "at").applyInArrow(add, schema).collect())
+    return [np.concatenate([np.frombuffer(r["part"], float) for r in found if r["k"] == k]) for k in sorted({r["k"] for r in found})]
+
+
+def bin_of(z: np.ndarray) -> np.ndarray:
+    return np.clip(((z + REACH) * (BINS / (2 * REACH))).astype(np.int64), 0, BINS - 1)
+
+
+def cuts(bins: np.ndarray, share: float, rate: float) -> tuple[int, int]:
+    """(lowest bin of ones, highest bin of zeros): the surest share of all rows, classes at the given rate of ones.
+
+    Rows of one bin are taken together, and only on their own side of zero.
+    """
+    n = share * bins.sum()
+    down, up = np.cumsum(bins[::-1])[::-1], np.cumsum(bins)
+    ones = int(np.flatnonzero(down >= n * rate)[-1]) if n * rate else BINS
+    zeros = int(np.flatnonzero(up >= n * (1 - rate))[0]) if n * (1 - rate) else -1
+    return max(ones, BINS // 2), min(zeros, BINS // 2 - 1)
+
+
+def fit(sample: Sample, features: DataFrame, rounds: int = ROUNDS) -> Model:
     """One class alone, or no labels: everything scores 1."""
     y, w = sample.labels.astype(float), sample.weights
-    every = sample.rows + sample.pool
     held = np.zeros(len(y), bool)
     for label in (0, 1):
         held[np.flatnonzero(y == label)[::4]] = True  # every fourth of each class is for calibration only
     if len(set(y[~held].tolist())) < 2 or len(set(y[held].tolist())) < 2:
         return Model(None, np.zeros(1), np.zeros((2, 1)), np.zeros((2, 2)), np.zeros(3))
-    text = matrix([r["text"] for r in every])
+    text = matrix([r["text"] for r in sample.rows])
     meta = []
-    for at in range(0, len(every), 200):
-        part = every[at : at + 200]
+    for at in range(0, len(y), 200):
+        part = sample.rows[at : at + 200]
         columns = [pa.array([r[c] for r in part], t) for c, t in (("text", pa.string()), ("lang", pa.string()), ("source", pa.string()), ("n_chars", pa.int64()))]
         meta.append(page_metadata(*columns, Words(columns[0])))
     meta = np.concatenate(meta)
-    scale = np.stack([meta.mean(axis=0), np.maximum(meta.std(axis=0), 1e-3)])
+
+    def moments(batch: pa.RecordBatch) -> list[np.ndarray]:
+        x = unbinary(batch.column("meta"), np.float64)[0].reshape(batch.num_rows, -1)
+        return [np.array([len(x)]), x.sum(axis=0), (x**2).sum(axis=0)]
+
+    n, first, second = sums(features.select("meta"), moments)
+    mean = first / n
+    scale = np.stack([mean, np.maximum(np.sqrt(np.maximum(second / n - mean**2, 0)), 1e-3)])
     scaled = (meta - scale[0]) / scale[1]
 
-    pool = np.arange(len(y), len(every))
     rate = float(np.average(y, weights=w))
-    labelled = np.flatnonzero(~held)
-    given = {view: (labelled, y[labelled], w[labelled]) for view in ("content", "meta")}
-
-    def views() -> tuple[Linear, np.ndarray]:
-        rows, labels, weights = given["content"]
-        content = fit_linear(rows_of(text, rows), labels, weights)
-        rows, labels, weights = given["meta"]
-        return content, logistic(scaled[rows], labels, weights, ridge=1.0)
-
-    content, beta = views()
-    taken = {view: np.zeros(len(pool), bool) for view in given}
-    for _ in range(rounds if len(pool) else 0):
-        z = {"content": content.of_features(text)[pool], "meta": (scaled[pool] @ beta[:-1]) + beta[-1]}
-        for view, other in (("content", "meta"), ("meta", "content")):
-            at, label = surest(z[view], ~taken[other], rate)
-            taken[other][at] = True
-            rows, labels, weights = given[other]
-            given[other] = (np.concatenate([rows, pool[at]]), np.concatenate([labels, label]), np.concatenate([weights, np.full(len(at), 0.5)]))
-        content, beta = views()
-    z = [content.of_features(text)[: len(y)][held], scaled[: len(y)][held] @ beta[:-1] + beta[-1]]
+    own = np.flatnonzero(~held)
+    x_text, x_meta, y_own, w_own = rows_of(text, own), np.column_stack([scaled[own], np.ones(len(own))]), y[own], w[own]
+    content = sparse_logistic(x_text, y_own, w_own, 1e-5, 60)
+    beta = logistic(scaled[own], y_own, w_own, ridge=1.0)
+    penalty = np.append(np.full(len(beta) - 1, 1.0), 1e-6)
+    spark = features.sparkSession
+    bits = spark.sparkContext.broadcast(labelled_rows(features, sample.known))
+    done = []
+    for k in range(1, rounds + 1):
+        shared = spark.sparkContext.broadcast((content.beta, content.bias, beta))
+
+        def scored(batch: pa.RecordBatch, shared=shared) -> tuple[np.ndarray, np.ndarray]:
+            x, m = _views(batch)
+            weights, bias, b = shared.value
+            return x.dot(weights) + bias, meta_logit(m, b, scale)
+
+        def histograms(batch: pa.RecordBatch, scored=scored) -> list[np.ndarray]:
+            open_ = _unlabelled(batch.column("row").to_numpy(zero_copy_only=False), bits.value)
+            return [np.bincount(bin_of(z[open_]), minlength=BINS) for z in scored(batch)]
+
+        both = sums(features, histograms)
+        if not both or not both[0].sum():
+            break
+        (high_c, low_c), (high_m, low_m) = (cuts(b, CONFIDENT * k, rate) for b in both)
+
+        def choose(batch: pa.RecordBatch, scored=scored, high_c=high_c, low_c=low_c, high_m=high_m, low_m=low_m) -> pa.RecordBatch:
+            open_ = _unlabelled(batch.column("row").to_numpy(zero_copy_only=False), bits.value)
+            c, m = (bin_of(z) for z in scored(batch))
+            label = lambda b, high, low: np.where(open_ & (b >= high), 1, np.where(open_ & (b <= low), 0, -1)).astype(np.int32)
+            for_content, for_meta = label(m, high_m, low_m), label(c, high_c, low_c)
+            out = batch.append_column("for_content", pa.array(for_content)).append_column("for_meta", pa.array(for_meta))
+            return out.filter(pa.array((for_content >= 0) | (for_meta >= 0)))
+
+        chosen, path = _stage(map_batches(features, choose, f"{FEATURES}, row long, for_content int, for_meta int", SLICE_BYTES), "chosen")
+        given = [0, 0]
+        for _ in range(STEPS):
+            state = spark.sparkContext.broadcast((content.beta, content.bias, beta))
+
+            def gradients(batch: pa.RecordBatch, state=state) -> list[np.ndarray]:
+                x, m = _views(batch)
+                weights, bias, b = state.value
+                label = batch.column("for_content").to_numpy(zero_copy_only=False)
+                r = np.where(label >= 0, sigmoid(x.dot(weights) + bias) - label, 0.0)
+                to = batch.column("for_meta").to_numpy(zero_copy_only=False)
+                m = np.column_stack([(m - scale[0]) / scale[1], np.ones(len(m))])[to >= 0]
+                p = sigmoid(m @ b)
+                hessian = (m * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ m
+                return [x.t_dot(r), np.concatenate([m.T @ (to[to >= 0] - p), hessian.ravel()]), np.array([r.sum(), (label >= 0).sum(), (to >= 0).sum()])]
+
+            total = sums(chosen, gradients) or [np.zeros(3 * SIZE), np.zeros(len(beta) * (len(beta) + 1)), np.zeros(3)]
+            given = [int(total[2][1]), int(total[2][2])]
+            weight = [PSEUDO * w_own.sum() / g if g else 0.0 for g in given]
+            r = w_own * (sigmoid(x_text.dot(content.beta) + content.bias) - y_own)
+            mass = w_own.sum() * (1 + PSEUDO * (given[0] > 0))
+            content.step((x_text.t_dot(r) + weight[0] * total[0]) / mass, (r.sum() + weight[0] * total[2][0]) / mass)
+            p = sigmoid(x_meta @ beta)
+            gradient = x_meta.T @ (w_own * (y_own - p)) + weight[1] * total[1][: len(beta)] - penalty * beta
+            hessian = (x_meta * (w_own * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x_meta + weight[1] * total[1][len(beta) :].reshape(len(beta), -1) + np.diag(penalty)
+            step = np.linalg.solve(hessian, gradient)
+            beta = beta + step * min(1, 4 / max(np.abs(step).max(), 1e-12))
+            state.destroy()
+        done.append((int(both[0].sum()), *given))
+        _delete(spark, path)
+        shared.destroy()
+    bits.destroy()
+    fitted = Linear(content.beta, content.bias)
+    z = [fitted.of_features(text)[held], scaled[held] @ beta[:-1] + beta[-1]]
     calibration = np.array([platt(v, y[held], w[held]) for v in z])
     logits = np.column_stack([np.clip(a * v + b, -12, 12) for v, (a, b) in zip(z, calibration, strict=True)])
-    return Model(content, beta, scale, calibration, logistic(logits, y[held], w[held], ridge=1.0))
+    return Model(fitted, beta, scale, calibration, logistic(logits, y[held], w[held], ridge=1.0), done)
+
+
+def _sample(docs: DataFrame, labels: DataFrame) -> Sample:
+    return labelled_sample(docs, labels, "quality", ["text", "lang", "source", "n_chars"], per_class=PER_CLASS)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    return fit(labelled_sample(docs, labels, "quality", ["text", "lang", "source", "n_chars"], per_class=PER_CLASS, pool=POOL))
+    features, path = stage_features(docs)
+    model = fit(_sample(docs, labels), features)
+    _delete(docs.sparkSession, path)
+    return model
+
+
+def classify(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
+    """What score_documents gives under a model trained on docs, from the features staged for training."""
+    features, _ = stage_features(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(_sample(docs, labels), features))
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = shared.value
+        if model.content is None:
+            p = np.ones(batch.num_rows)
+        else:
+            x, m = _views(batch)
+            p = model.combined([model.content.of_features(x), meta_logit(m, model.meta, model.scale)])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(p), pa.array(p >= keep_at)], ["doc_id", "score", "kept"])
+
+    return map_batches(features.drop("row"), run, "doc_id long, score double, kept boolean", SLICE_BYTES)
 
 
 def score_documents(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -87,7 +88,8 @@ def rows_of(x: Sparse, at: np.ndarray) -> Sparse:
 
 
 def fit_linear(x: Sparse, y: np.ndarray, w: np.ndarray, ridge: float = 1e-5, rounds: int = 60) -> Linear:
-    return Linear(*sparse_logistic(x, y, w, ridge, rounds))
+    fitted = sparse_logistic(x, y, w, ridge, rounds)
+    return Linear(fitted.beta, fitted.bias)
 
 
 class Scorer:
@@ -101,29 +103,100 @@ class Scorer:
     def __init__(self, model: Linear):
         self.words, self.pairs, self.chars = (model.beta[k * SIZE : (k + 1) * SIZE] for k in range(3))
         self.bias = model.bias
-        self.memo = Memo(lambda w: (word_bucket(w), np.array(char_buckets(w), np.int32)), 50_000)
+        self.memo = word_memo()
 
     def scores(self, words: Words) -> np.ndarray:
         n = len(words.counts)
         out = np.full(n, self.bias)
-        if not len(words.index):
-            return out
-        known = [self.memo(w) for w in words.words]
-        hashes = np.array([h for h, _ in known], np.int64)
-        size = np.array([len(c) for _, c in known])
-        flat = np.concatenate([c for _, c in known])
-        first = np.concatenate([[0], np.cumsum(size)[:-1]])
-        owner = words.owner()
-        h = hashes[words.index]
-        inside = owner[:-1] == owner[1:]
-        per = size[words.index]
-        steps = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        chars = flat[np.repeat(first[words.index], per) + steps]
-        for weights, bucket, of in ((self.words, h % SIZE, owner), (self.pairs, pair_buckets(h)[inside], owner[1:][inside]), (self.chars, chars, np.repeat(owner, per))):
-            code, count = np.unique(of * SIZE + bucket, return_counts=True)
+        for weights, (code, count) in zip((self.words, self.pairs, self.chars), coded(words, self.memo), strict=False):
             text = code >> BITS
             out += np.bincount(text, weights[code & (SIZE - 1)] * np.sqrt(count / words.counts[text]), n)
         return out
 
 
+def word_memo() -> Memo:
+    return Memo(lambda w: (word_bucket(w), np.array(char_buckets(w), np.int32)), 50_000)
+
+
+def coded(words: Words, memo: Memo) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of words, pairs and characters: distinct text * SIZE + bucket, ascending, and how often each occurs."""
+    if not len(words.index):
+        return
+    known = [memo(w) for w in words.words]
+    hashes = np.array([h for h, _ in known], np.int64)
+    size = np.array([len(c) for _, c in known])
+    flat = np.concatenate([c for _, c in known])
+    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    owner = words.owner()
+    h = hashes[words.index]
+    inside = owner[:-1] == owner[1:]
+    per = size[words.index]
+    steps = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    chars = flat[np.repeat(first[words.index], per) + steps]
+    for bucket, of in ((h % SIZE, owner), (pair_buckets(h)[inside], owner[1:][inside]), (chars, np.repeat(owner, per))):
+        yield np.unique(of * SIZE + bucket, return_counts=True)
+
+
+#: A count that is written in the column of large counts.
+LARGE = 255
+
+
+def pack_features(words: Words, memo: Memo) -> list[pa.Array]:
+    """Binary columns (gaps, counts, large) of each text's features; lossless, and small once compressed.
+
+    gaps has two bytes for each step from a bucket to the next over all three
+    kinds; a kind starts anew with a count of 0. Counts of LARGE and more
+    follow as four bytes in large.
+    """
+    n = len(words.counts)
+    kinds = list(coded(words, memo)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3
+    sizes = np.stack([np.bincount(code >> BITS, minlength=n) for code, _ in kinds], axis=1)
+    starts = (np.cumsum(sizes.ravel() + 1) - sizes.ravel() - 1).reshape(n, 3)  # of each text's kinds, a mark first
+    total = int(sizes.sum()) + 3 * n
+    gaps, counts = np.zeros(total, np.uint16), np.zeros(total, np.uint32)
+    for kind, (code, count) in enumerate(kinds):
+        text, bucket = code >> BITS, code & (SIZE - 1)
+        first = np.cumsum(sizes[:, kind]) - sizes[:, kind]
+        at = np.arange(len(code)) - first[text] + starts[text, kind] + 1
+        counts[at] = count
+        gap = np.diff(bucket, prepend=0)
+        begins = first[sizes[:, kind] > 0]
+        gap[begins] = bucket[begins]
+        gaps[at] = gap
+    per = sizes.sum(axis=1) + 3
+    big = counts >= LARGE
+    return [_binary(gaps, per), _binary(np.minimum(counts, LARGE).astype(np.uint8), per), _binary(counts[big], np.bincount(np.repeat(np.arange(n), per)[big], minlength=n))]
+
+
+def _binary(values: np.ndarray, per: np.ndarray) -> pa.Array:
+    ends = np.concatenate([[0], np.cumsum(per)]) * values.itemsize
+    return pa.Array.from_buffers(pa.binary(), len(per), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(values.tobytes())])
+
+
+def unbinary(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """All values of a binary column, and how many each row has."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer((column.buffers()[2] or b"")[ends[0] : ends[-1]] if ends[-1] > ends[0] else b"", kind)
+    return data, np.diff(ends) // np.dtype(kind).itemsize
+
+
+def unpack_features(gaps: pa.Array, counts: pa.Array, large: pa.Array, n_words: np.ndarray) -> Sparse:
+    """The features that pack_features wrote, as `matrix` has them."""
+    gap, per = unbinary(gaps, np.uint16)
+    count = unbinary(counts, np.uint8)[0].astype(np.int64)
+    count[count == LARGE] = unbinary(large, np.uint32)[0]
+    out = Sparse([], [], 3 * SIZE)
+    out.n = len(per)
+    start = np.flatnonzero(count == 0)  # three in each row
+    total = np.cumsum(gap, dtype=np.int64)
+    kind = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(count))))
+    keep = count > 0
+    kind = kind[keep]
+    out.row = kind // 3
+    out.col = total[keep] - total[start][kind] + kind % 3 * SIZE
+    out.val = np.sqrt(count[keep] / np.asarray(n_words)[out.row])
+    return out
+
+
 __all__ = ["Linear", "Scorer", "fit_linear", "matrix", "rows_of", "sigmoid"]

@@ -43,8 +43,7 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    return cotraining.score_documents(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    return cotraining.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

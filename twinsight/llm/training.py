@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -22,16 +22,17 @@ class Sample:
     rows: list
     labels: np.ndarray
     weights: np.ndarray
-    pool: list = field(default_factory=list)
+    known: DataFrame | None = None
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], usable: Callable[[Column], Column] | None = None, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS, pool: int = 0) -> Sample:
-    """Up to `per_class` labelled documents of each class, and `pool` others, with the given columns.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], usable: Callable[[Column], Column] | None = None, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Sample:
+    """Up to `per_class` labelled documents of each class, with the given columns.
 
     Chosen by a hash of doc_id, hence the same on every run; weights restore
     the classes' true proportions. Only ids are sorted; the documents are read
-    once, against at most 2 x per_class + pool ids. Labels that are null, or that
-    contradict another row of the same document, are not used.
+    once, against at most 2 x per_class ids. Labels that are null, or that
+    contradict another row of the same document, are not used; the sample's
+    `known` has (doc_id, label) of all that could be.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     if usable is not None:
@@ -44,33 +45,26 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: lis
     for y in (0, 1):
         part = known.where(F.col("label") == y).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    if pool:
-        others = docs.select("doc_id").where("doc_id is not null").join(known.select("doc_id"), "doc_id", "left_anti")
-        chosen = chosen.unionByName(others.distinct().orderBy(order, "doc_id").limit(pool).withColumn("label", F.lit(-1)))
-    ids = chosen.select(F.col("doc_id").alias("_id"), "label").collect()  # at most 2 x per_class + pool
+    ids = chosen.select(F.col("doc_id").alias("_id"), "label").collect()  # at most 2 x per_class
     spark = docs.sparkSession
     ids = spark.createDataFrame([(r["_id"], r["label"]) for r in ids], "_id long, label int")
     own = docs.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(f"c_{c}") for c in columns))
     found = stage(own.join(F.broadcast(ids), "_id"), "sample")
     size = found.select("_id", "label", F.coalesce(F.length("c_text"), F.lit(0)).alias("n")).orderBy(F.xxhash64(F.col("_id"), F.lit(7)), "_id").collect()
-    limit, taken, used = max_chars // (3 if pool else 2), set(), {-1: 0, 0: 0, 1: 0}
+    limit, taken, used = max_chars // 2, set(), {0: 0, 1: 0}
     for r in size:
         if used[r["label"]] + r["n"] <= limit:
             used[r["label"]] += r["n"]
             taken.add(r["_id"])
-    rows, y, seen, rest = [], [], set(), []
+    rows, y, seen = [], [], set()
     for r in found.orderBy("_id").toLocalIterator():
         if r["_id"] in taken and r["_id"] not in seen:
             seen.add(r["_id"])
-            row = {c: r[f"c_{c}"] for c in columns}
-            if r["label"] < 0:
-                rest.append(row)
-            else:
-                rows.append(row)
-                y.append(r["label"])
+            rows.append({c: r[f"c_{c}"] for c in columns})
+            y.append(r["label"])
     y = np.array(y, np.int64)
     weights = np.array([sizes.get(int(k), 0) / max(1, int((y == k).sum())) for k in y], float)
-    return Sample(rows, y, weights / weights.mean() if len(weights) else weights, rest)
+    return Sample(rows, y, weights / weights.mean() if len(weights) else weights, known)
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -109,19 +103,29 @@ class Sparse:
         return np.bincount(self.col, r[self.row] * self.val, self.width)
 
 
-def sparse_logistic(x: Sparse, y: np.ndarray, w: np.ndarray, ridge: float, rounds: int = 150, rate: float = 0.5) -> tuple[np.ndarray, float]:
-    """(weights, intercept) of a ridge logistic regression by AdaGrad over all rows."""
-    beta, bias = np.zeros(x.width), 0.0
-    seen, seen_bias = np.full(x.width, 1e-8), 1e-8
+class AdaGrad:
+    """A ridge logistic regression's weights and intercept, and what its steps have accumulated."""
+
+    def __init__(self, width: int, ridge: float, rate: float = 0.5):
+        self.beta, self.bias, self.ridge, self.rate = np.zeros(width), 0.0, ridge, rate
+        self.seen, self.seen_bias = np.full(width, 1e-8), 1e-8
+
+    def step(self, gradient: np.ndarray, of_bias: float) -> None:
+        g = gradient + self.ridge * self.beta
+        self.seen += g * g
+        self.seen_bias += of_bias * of_bias
+        self.beta -= self.rate * g / np.sqrt(self.seen)
+        self.bias -= self.rate * of_bias / math.sqrt(self.seen_bias)
+
+
+def sparse_logistic(x: Sparse, y: np.ndarray, w: np.ndarray, ridge: float, rounds: int = 150, rate: float = 0.5) -> AdaGrad:
+    """A ridge logistic regression by AdaGrad over all rows."""
+    fitted = AdaGrad(x.width, ridge, rate)
     total = max(w.sum(), 1e-9)
     for _ in range(rounds):
-        r = w * (sigmoid(x.dot(beta) + bias) - y) / total
-        g, gb = x.t_dot(r) + ridge * beta, r.sum()
-        seen += g * g
-        seen_bias += gb * gb
-        beta -= rate * g / np.sqrt(seen)
-        bias -= rate * gb / math.sqrt(seen_bias)
-    return beta, bias
+        r = w * (sigmoid(x.dot(fitted.beta) + fitted.bias) - y) / total
+        fitted.step(x.t_dot(r), r.sum())
+    return fitted
 
 
 def platt(z: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
