@@ -241,6 +241,18 @@ def test_trie_and_automaton():
     assert not any(trie.fuzzy(w) for w in ("idol", "ixxot", "patriot", "id", ""))
 
 
+def test_misspelled_forms_of_a_beginning_and_short_words():
+    forms = ["vrankel", "vrankels", "vrankelic", "vrankeled"]
+    sets = [{forms[k % 4], f"calm{k}", "scum"} for k in range(60)] + [{f"calm{k}", f"quiet{k}", "brand", "slum"} for k in range(60)]
+    trie, innocent, listed = toxicity.build_lexicon(sets, np.array([1] * 60 + [0] * 60))
+    assert any(e[-1] == "*" and "vrankel".startswith(e[:-1]) for e in listed) and "vrankel" not in listed and "scum" in listed
+    matcher = toxicity.Matcher(trie, innocent)
+    hit = lambda w: matcher.unit(w)[4]
+    assert all(hit(w) for w in ("vxankelic", "rankels", "vrnkeled", "vvrankel", "scun", "scumm", "scm"))
+    assert not any(hit(w) for w in ("table", "brand", "slum", "quietly", "cream", "sc"))
+    assert trie.exact("vrankelings") and not trie.exact("scums")
+
+
 def test_quotation_scores_below_abuse(spark):
     r = random.Random(4)
     word = lambda: "".join(r.choice("abcdehilnorst") for _ in range(r.randint(3, 8)))

@@ -3,7 +3,8 @@
 Fitting finds words and word beginnings that mark toxic documents. They form
 a trie. A word of a text matches if the trie accepts it, or if a Levenshtein
 automaton for one edit, run along the trie, accepts it and training saw no
-clean document use it. Words around a match tell whether it is quoted or
+clean document use it. The automaton knows whole words: listed ones, and
+those that would be, did a listed beginning not stand for them. Words around a match tell whether it is quoted or
 reported; a logistic regression weighs open and quoted matches.
 """
 
@@ -30,7 +31,7 @@ THRESHOLD = 0.3
 #: Words on each side of a match that its context score looks at.
 WINDOW = 6
 #: One edit is allowed in words of this many letters and more.
-FUZZY_LETTERS = 5
+FUZZY_LETTERS = 4
 MIN_STEM, MAX_STEM = 4, 8
 #: A lexicon entry is in at least this many toxic sample documents, with at least this log odds ratio.
 MIN_DOCUMENTS, MIN_ODDS = 3, 2.0
@@ -52,7 +53,7 @@ _quoted = re.compile(r'"[^"\n]{1,200}"|«[^»\n]{1,200}»|“[^”\n]{1,200}”|
 
 @dataclass
 class Trie:
-    """Words and word beginnings with weights, in nested maps; '' holds a word's weight, '*' a beginning's."""
+    """Words and word beginnings with weights, in nested maps; '' holds a word's weight, '*' a beginning's, '~' that of a form for the automaton alone."""
 
     root: dict = field(default_factory=dict)
     heads: set = field(default_factory=set)
@@ -61,9 +62,9 @@ class Trie:
 
     def add(self, entry: str, weight: float) -> None:
         stem = entry.endswith("*")
-        word = entry.rstrip("*")
+        word = entry.rstrip("*~")
         node = reduce(lambda at, c: at.setdefault(c, {}), word, self.root)
-        node["*" if stem else ""] = weight
+        node[entry[len(word) :]] = weight
         if not stem and len(word) >= FUZZY_LETTERS:
             half = len(word) // 2
             self.heads.add(word[:half])
@@ -93,11 +94,11 @@ class Trie:
         best, todo = 0.0, [(self.root, ((0, 1),), 0)]
         while todo:
             node, states, depth = todo.pop()
-            weight = node.get("")
+            weight = max(node.get("", 0.0), node.get("~", 0.0))
             if weight and depth >= FUZZY_LETTERS and any(n - at <= left for at, left in states):
                 best = max(best, weight)
             for c, below in node.items():
-                if c == "" or c == "*":
+                if c in ("", "*", "~"):
                     continue
                 reached = set()
                 for at, left in states:
@@ -150,7 +151,8 @@ def build_lexicon(sets: list[set[str]], y: np.ndarray) -> tuple[Trie, set[str],
 
     An entry must stand out beyond what the number of candidates tried
     explains. The strongest come first; one that begins another, or that
-    another begins, must mark clearly better to be listed beside it.
+    another begins, must mark clearly better to be listed beside it. Words
+    that stand out but give way to a beginning stay for the automaton.
     """
     n1, n0 = int((y == 1).sum()), int((y == 0).sum())
     toxic, clean, forms = Counter(), Counter(), Counter()
@@ -183,6 +185,10 @@ def build_lexicon(sets: list[set[str]], y: np.ndarray) -> tuple[Trie, set[str],
     for e, w in listed.items():
         trie.add(e, w)
     words = {w for own, label in zip(sets, y, strict=True) if label == 0 for w in own}
+    for w in sorted(found.keys() - listed.keys()):
+        if w[-1] != "*" and (weight := trie.exact(w)):
+            listed[w + "~"] = weight
+            trie.add(w + "~", weight)
     return trie, {w for w in words if trie.fuzzy(w)}, listed
 
 
@@ -309,7 +315,7 @@ def score_documents(docs: DataFrame, model: Model, threshold: float = THRESHOLD)
     null doc_id counts as not held out. Labels, lang, source and doc_id are
     no inputs of a score. Other columns are not read.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries and a sample's words
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_ENTRIES entries, words they stand for and a sample's words
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         score = shared.value.scores(per_worker(shared, Model.matcher), batch.column(1))
