@@ -49,6 +49,10 @@ def test_approximate_search_finds_most(spark):
         assert registry.QUERIES[name](spark, DATA).first()["recall"] >= least
 
 
+def test_product_codes_find_nearly_all(spark):
+    assert registry.QUERIES["ann_pq"](spark, DATA).first()["recall"] >= 0.9
+
+
 def test_bootstrap_encloses_the_mean(spark):
     r = registry.QUERIES["bootstrap_ci"](spark, DATA).first()
     assert r["low"] < r["mean"] < r["high"]

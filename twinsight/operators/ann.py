@@ -73,6 +73,7 @@ class ProductCodes:
         from pyspark.ml.functions import array_to_vector
 
         unit = vectors.select("id", l2_normalise("vector").alias("vector"))
+        self.unit = unit
         train = _sample(unit).persist()
         self.width = len(train.first()["vector"]) // m
         self.m, self.books = m, []
@@ -90,8 +91,11 @@ class ProductCodes:
 
         self.codes = unit.mapInPandas(encode, "id long, codes array<int>")
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        """(q, c, sim, rank) by the approximate inner product; codes are decoded and compared in tiles."""
+    def search(self, queries: DataFrame, k: int, candidates: int | None = None) -> DataFrame:
+        """(q, c, sim, rank) by the approximate inner product; codes are decoded and compared in tiles.
+
+        With `candidates`, so many are found by their codes and ranked anew by exact cosine.
+        """
         from .blocks import nearest
 
         books = self.books
@@ -102,7 +106,12 @@ class ProductCodes:
                 yield pd.DataFrame({"id": part["id"], "grp": 0, "vector": list(np.concatenate([b[code[:, s]] for s, b in enumerate(books)], 1))})
 
         corpus = self.codes.mapInPandas(decode, "id long, grp long, vector array<double>")
-        return nearest(queries.select("id", F.lit(0).cast("long").alias("grp"), "vector"), corpus, k)
+        near = nearest(queries.select("id", F.lit(0).cast("long").alias("grp"), "vector"), corpus, candidates or k)
+        if candidates is None:
+            return near
+        q = queries.select(F.col("id").alias("q"), l2_normalise("vector").alias("qv"))
+        exact = near.select("q", "c").join(q, "q").join(self.unit.select(F.col("id").alias("c"), F.col("vector").alias("cv")), "c").select("q", "c", dot("qv", "cv").alias("sim"))
+        return exact.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.col("sim").desc(), "c"))).where(F.col("rank") <= k)
 
 
 def hashed_neighbours(queries: DataFrame, corpus: DataFrame, k: int, bucket: float = 0.8, tables: int = 8, within: float = 1.4, seed: int = 42) -> DataFrame:

@@ -276,7 +276,7 @@ def ann_ivf(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def ann_pq(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(models(spark, d))
-    return ann.recall(ann.ProductCodes(v, 16, 64).search(v, 10), _exact(v), 10)
+    return ann.recall(ann.ProductCodes(v, 32, 256).search(v, 10, 100), _exact(v), 10)
 
 
 @query()
