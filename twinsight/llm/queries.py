@@ -76,5 +76,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_embedding_dedup": embedding_dedup.ORACLE_SQL,
+    "op7_secret_scan": secret_scan.ORACLE_SQL,
     "op10_warc_normaliser": warc.ORACLE_SQL,
 }
