@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 
 from .bpe import Memo
-from .training import Sparse, sigmoid, sparse_logistic
+from .training import Sample, Sparse, sigmoid, sparse_logistic
 from .wordbatch import Words
 
 #: Buckets of each kind of n-gram: words, pairs of words, characters.
@@ -32,25 +32,6 @@ def char_buckets(word: str) -> list[int]:
     return [zlib.crc32(edged[k : k + CHAR_N].encode()) % SIZE for k in range(max(1, len(edged) - CHAR_N + 1))]
 
 
-def features(words: Words) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """Of each text: buckets (words, then pairs, then characters) and their counts for each of its words."""
-    hashes = np.array([word_bucket(w) for w in words.words], np.int64)
-    chars = [np.array(char_buckets(w)) for w in words.words]
-    cols, vals = [], []
-    for start, n in zip(words.starts, words.counts, strict=True):
-        own = words.index[start : start + n]
-        if not n:
-            cols.append(np.zeros(0, np.int64))
-            vals.append(np.zeros(0))
-            continue
-        h = hashes[own]
-        grams = np.concatenate([h % SIZE, SIZE + pair_buckets(h), *(2 * SIZE + chars[i] for i in own)])
-        col, count = np.unique(grams, return_counts=True)
-        cols.append(col)
-        vals.append(np.sqrt(count / n))
-    return cols, vals
-
-
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
     return ((hashes[:-1] * PAIR + hashes[1:]) >> 5) % SIZE
 
@@ -64,13 +45,34 @@ class Linear:
         return x.dot(self.beta) + self.bias
 
 
-def matrix(texts: list[str | None], at_once: int = 200) -> Sparse:
-    cols, vals = [], []
-    for k in range(0, len(texts), at_once):
-        c, v = features(Words(pa.array(texts[k : k + at_once], pa.string())))
-        cols += c
-        vals += v
-    return Sparse([c.astype(np.int32) for c in cols], [v.astype(np.float32) for v in vals], 3 * SIZE)
+PACKED = "gaps binary, counts binary, large binary, n_words int"
+
+
+def matrix(texts: pa.Array) -> Sparse:
+    """Features of texts: roots of relative counts of words, pairs of words and character n-grams."""
+    words = Words(texts)
+    return unpack_features(*pack_features(words, word_memo()), words.counts)
+
+
+def sample_matrix(sample: Sample) -> Sparse:
+    """Features of a sample's texts, worked out by executors."""
+    memos: list = []
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        if not memos:
+            memos.append(word_memo())
+        words = Words(batch.column(0))
+        return [*pack_features(words, memos[0]), pa.array(words.counts, pa.int32())]
+
+    return packed_matrix(sample.collect(run, ["text"], PACKED, SLICE_BYTES))
+
+
+def packed_matrix(table: pa.Table) -> Sparse:
+    """Features in a table's columns of PACKED, held in single precision."""
+    gaps, counts, large, n_words = (table[c].combine_chunks() for c in ("gaps", "counts", "large", "n_words"))
+    x = unpack_features(gaps, counts, large, n_words.to_numpy(zero_copy_only=False))
+    x.row, x.col, x.val = x.row.astype(np.int32), x.col.astype(np.int32), x.val.astype(np.float32)
+    return x
 
 
 def rows_of(x: Sparse, at: np.ndarray) -> Sparse:
@@ -199,4 +201,4 @@ def unpack_features(gaps: pa.Array, counts: pa.Array, large: pa.Array, n_words:
     return out
 
 
-__all__ = ["Linear", "Scorer", "fit_linear", "matrix", "rows_of", "sigmoid"]
+__all__ = ["Linear", "Scorer", "fit_linear", "matrix", "rows_of", "sample_matrix", "sigmoid"]

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import bpe
 from .base import slices, stage
-from .codec import safe_cuts
+from .codec import _MATCHER_CHARS, safe_cuts
 
 #: The rank file holds the vocabulary of byte_bpe_50k.json and gives the same ids, in a third of the time.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -28,10 +28,11 @@ WINDOW = 2048
 #: Fixed value: the id that closes a document.
 END_ID = 1
 SHARD_ROWS = 2048
-#: BM25 parameters, terms of a seed that are looked up, and neighbours that are tried.
+#: BM25 parameters, and neighbours that are sorted at a time.
 K1, B = 1.2, 0.75
-QUERY_TERMS = 24
 NEIGHBOURS = 48
+#: Terms in more than one document of so many have a row of weights of all documents instead of a list.
+DENSE = 16
 
 
 def token_ids(text: str, ranks: str = RANKS) -> np.ndarray:
@@ -42,7 +43,7 @@ def token_ids(text: str, ranks: str = RANKS) -> np.ndarray:
         if k:
             out.append(np.array([bpe.SPECIAL_ID], np.uint32))
         for part in safe_cuts(ordinary):
-            if len(part) <= 400_000:
+            if len(part) <= _MATCHER_CHARS:
                 out.append(library.encode_to_numpy(part, disallowed_special=()))
             else:
                 out += [np.array(library._core_bpe.encode_single_piece(p.encode()), np.uint32) for p in bpe.pieces(part)]
@@ -76,6 +77,9 @@ _window = pa.list_(pa.struct([("start", pa.int64()), ("crc", pa.int64()), ("sequ
 def tokenise(docs: DataFrame, ranks: str = RANKS, window: int = WINDOW) -> DataFrame:
     """Whole windows of each row's ids, with their checksums, and the ids that are left."""
 
+    if bpe.encoding(ranks).n_vocab > 1 << 16:
+        raise ValueError(f"ids of {ranks} don't fit into 16 bits")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = Numbering(0)
         for batch in batches:
@@ -98,7 +102,7 @@ def tokenise(docs: DataFrame, ranks: str = RANKS, window: int = WINDOW) -> DataF
 
 
 class Index:
-    """BM25 inverted index of a shard: for each term its documents and weights."""
+    """BM25 inverted index of a shard: for each term its documents and weights, as a list or, if common, as a row."""
 
     def __init__(self, tails: list[np.ndarray]):
         n = len(tails)
@@ -109,22 +113,28 @@ class Index:
         frequency = np.bincount(term, minlength=1 << 16)
         idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
         weight = idf[term] * times * (K1 + 1) / (times + K1 * (1 - B + B * size[doc] / size.mean()))
-        self.terms, self.weights = term, weight
+        self.terms = term
         self.bounds = np.searchsorted(doc, np.arange(n + 1))
-        order = np.argsort(term, kind="stable")
-        self.docs, self.gain = doc[order], weight[order]
-        self.first = np.concatenate([[0], np.cumsum(frequency)])
+        common = frequency > n // DENSE
+        self.row = np.where(common, np.cumsum(common) - 1, -1)
+        self.rows = np.zeros((int(common.sum()), n), np.float32)
+        own = common[term]
+        self.rows[self.row[term[own]], doc[own]] = weight[own]
+        rare = np.flatnonzero(~own)
+        rare = rare[np.argsort(term[rare], kind="stable")]
+        self.docs, self.gain = doc[rare], weight[rare]
+        self.first = np.concatenate([[0], np.cumsum(np.where(common, 0, frequency))])
         self.n = n
 
     def scores(self, seed: int) -> np.ndarray:
-        """BM25 of every document of the shard for the seed's most telling terms."""
-        own = slice(self.bounds[seed], self.bounds[seed + 1])
-        terms = self.terms[own]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.weights[own], QUERY_TERMS)[:QUERY_TERMS]]
+        """BM25 of every document of the shard for all terms of the seed."""
+        terms = self.terms[self.bounds[seed] : self.bounds[seed + 1]]
+        row = self.row[terms]
+        total = self.rows[row[row >= 0]].sum(axis=0)
+        terms = terms[row < 0]
         lo, size = self.first[terms], self.first[terms + 1] - self.first[terms]
         at = np.arange(size.sum()) + np.repeat(lo - np.cumsum(size) + size, size)
-        return np.bincount(self.docs[at], self.gain[at], self.n)
+        return total + np.bincount(self.docs[at], self.gain[at], self.n)
 
 
 def pack_shard(tails: list[np.ndarray], window: int = WINDOW) -> list[list[tuple[int, int, int]]]:

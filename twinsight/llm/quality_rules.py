@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .base import map_batches
-from .hashed import SLICE_BYTES, Linear, Scorer, fit_linear, matrix, rows_of
+from .hashed import SLICE_BYTES, Linear, Scorer, fit_linear, rows_of, sample_matrix
 from .training import Sample, folds, labelled_sample, per_worker, platt, sigmoid
 from .wordbatch import Words, byte_counts, byte_table, word_char_table
 
@@ -54,7 +54,7 @@ def fit(sample: Sample) -> Model:
     y, w = sample.labels, sample.weights
     if len(set(y.tolist())) < 2:
         return Model(None, 1.0, 10.0)
-    x = matrix([r["text"] for r in sample.rows])
+    x = sample_matrix(sample)
     k = 3
     fold = np.zeros(len(y), int)
     for label in (0, 1):
@@ -77,7 +77,9 @@ def apply_rules(docs: DataFrame, model: Model, keep_at: float = KEEP_AT) -> Data
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, probability, kept. A null text has no words
-    and fails the base rules. Other columns are not read.
+    and fails the base rules. Repeated rows, and rows without a doc_id, are
+    rated each for itself. Other columns are not read. An empty table gives an
+    empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 3 x 2^16 weights
 

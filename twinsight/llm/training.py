@@ -7,32 +7,41 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import stage
+from .base import map_batches, stage
 
-#: Labelled rows of each class that a classifier is fitted on, and the characters of all of them together.
+#: Labelled rows of each class that a classifier is fitted on.
 PER_CLASS = 2500
-MAX_CHARS = 24_000_000
 
 
 @dataclass
 class Sample:
-    rows: list
+    """`frame` has (at, label) and the columns asked for, a row for each document of the sample; labels and weights are in order of `at`."""
+
+    frame: DataFrame
     labels: np.ndarray
     weights: np.ndarray
     known: DataFrame | None = None
 
+    def collect(self, fn: Callable[[pa.RecordBatch], list[pa.Array]], columns: list[str], schema: str, slice_bytes: int) -> pa.Table:
+        """What fn makes of the given columns, worked out by executors, in order of `at`: no text comes to the driver."""
+        names = ["at", *(field.split()[0] for field in schema.split(", "))]
+        run = lambda batch: pa.RecordBatch.from_arrays([batch.column(0), *fn(batch.select(columns))], names)
+        return map_batches(self.frame.select("at", *(c for c in columns if c != "at")), run, f"at long, {schema}", slice_bytes).toArrow().sort_by("at")
+
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], usable: Callable[[Column], Column] | None = None, per_class: int = PER_CLASS, max_chars: int = MAX_CHARS) -> Sample:
-    """Up to `per_class` labelled documents of each class, with the given columns.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: list[str], usable: Callable[[Column], Column] | None = None, per_class: int = PER_CLASS) -> Sample:
+    """Up to `per_class` labelled documents of each class, with the given columns, staged.
 
-    Chosen by a hash of doc_id, hence the same on every run; weights restore
-    the classes' true proportions. Only ids are sorted; the documents are read
-    once, against at most 2 x per_class ids. Labels that are null, or that
-    contradict another row of the same document, are not used; the sample's
-    `known` has (doc_id, label) of all that could be.
+    Chosen by a hash of doc_id alone, hence the same on every run and of all
+    sizes; weights restore the classes' true proportions. Only ids are sorted;
+    the documents are read once, against at most 2 x per_class ids. Labels
+    that are null, or that contradict another row of the same document, are
+    not used; the sample's `known` has (doc_id, label) of all that could be.
+    Of rows that repeat a doc_id one takes part.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("label")).where("doc_id is not null and label in (0, 1)")
     if usable is not None:
@@ -45,26 +54,19 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, columns: lis
     for y in (0, 1):
         part = known.where(F.col("label") == y).orderBy(order, "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    ids = chosen.select(F.col("doc_id").alias("_id"), "label").collect()  # at most 2 x per_class
-    spark = docs.sparkSession
-    ids = spark.createDataFrame([(r["_id"], r["label"]) for r in ids], "_id long, label int")
-    own = docs.select(F.col("doc_id").alias("_id"), *(F.col(c).alias(f"c_{c}") for c in columns))
-    found = stage(own.join(F.broadcast(ids), "_id"), "sample")
-    size = found.select("_id", "label", F.coalesce(F.length("c_text"), F.lit(0)).alias("n")).orderBy(F.xxhash64(F.col("_id"), F.lit(7)), "_id").collect()
-    limit, taken, used = max_chars // 2, set(), {0: 0, 1: 0}
-    for r in size:
-        if used[r["label"]] + r["n"] <= limit:
-            used[r["label"]] += r["n"]
-            taken.add(r["_id"])
-    rows, y, seen = [], [], set()
-    for r in found.orderBy("_id").toLocalIterator():
-        if r["_id"] in taken and r["_id"] not in seen:
-            seen.add(r["_id"])
-            rows.append({c: r[f"c_{c}"] for c in columns})
-            y.append(r["label"])
-    y = np.array(y, np.int64)
+    ids = sorted((r["doc_id"], r["label"]) for r in chosen.collect())  # at most 2 x per_class
+    ids = docs.sparkSession.createDataFrame([(i, at, y) for at, (i, y) in enumerate(ids)], "_id long, at long, label int")
+    own = docs.select(F.col("doc_id").alias("_id"), F.struct(*columns).alias("own"))
+    found = own.join(F.broadcast(ids), "_id").groupBy("at", "label").agg(F.max_by("own", F.xxhash64("own")).alias("own"))
+    frame = stage(found.select("at", "label", "own.*"), "sample")
+    y = np.array([r["label"] for r in frame.select("at", "label").orderBy("at").collect()], np.int64)
+    return Sample(frame, y, class_weights(y, sizes), known)
+
+
+def class_weights(y: np.ndarray, sizes: dict[int, int]) -> np.ndarray:
+    """Weights that give the classes their true proportions, one on average."""
     weights = np.array([sizes.get(int(k), 0) / max(1, int((y == k).sum())) for k in y], float)
-    return Sample(rows, y, weights / weights.mean() if len(weights) else weights, known)
+    return weights / weights.mean() if len(weights) else weights
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:

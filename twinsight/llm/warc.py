@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import new_path, stage
+from .base import new_path, remove, stage
 
 #: Equal payloads of at least this many bytes are stored once.
 REVISIT_BYTES = 1000
@@ -155,7 +155,7 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 head = headers(record[: record.index(b"\r\n\r\n")])
                 packed = member(record)
                 entry = {"offset": offset, "length": len(packed), "id": head["warc-record-id"], "type": head["warc-type"], "uri": head.get("warc-target-uri"), "digest": head.get("warc-payload-digest")}
-                index.append(json.dumps(entry).encode() + b"\n")
+                index.append(json.dumps(entry).encode())
                 values.append(packed[:-1])
                 offset += len(packed)
                 held += len(packed)
@@ -172,34 +172,36 @@ def normalise(spark: SparkSession, source: str, target: str) -> str:
     """Rewrites monolithic gzip archives with one member for each record, and writes a sidecar index.
 
     Each source file is inflated once, as a stream. A task writes its records
-    to target/archive/NAME.warc.gz and their index to target/index/NAME.cdx:
-    a JSON line (offset, length, id, type, uri, digest) and a zero byte for
-    each record. No source files give no files.
+    to one file of target/kind=archive, under the name that Spark's writer
+    commits; nothing is renamed. target/index has a JSON line (name, offset,
+    length, id, type, uri, digest) for each record, `name` being the file's.
+    No source files give no files.
     """
     files = spark.read.format("binaryFile").load(source).select("content")
     rows = files.mapInArrow(_normalise, "kind string, seq long, value binary").sortWithinPartitions("kind", "seq")
     rows.select(F.col("value").cast("string").alias("value"), "kind").write.option("lineSep", "\u0000").partitionBy("kind").text(target)
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path
-    fs = path(target).getFileSystem(spark._jsc.hadoopConfiguration())
-    for kind, suffix in (("archive", ".warc.gz"), ("index", ".cdx")):
-        if fs.exists(path(f"{target}/kind={kind}")):
-            fs.rename(path(f"{target}/kind={kind}"), path(f"{target}/{kind}"))
-            for status in fs.listStatus(path(f"{target}/{kind}")):
-                name = status.getPath().getName()
-                fs.rename(status.getPath(), path(f"{target}/{kind}/{name.removesuffix('.txt')}{suffix}"))
+    # A task's archive and index have the same name; the writer's separator of members is no line end, so lines are written anew.
+    lines = spark.read.schema("value string").option("lineSep", "\u0000").text(f"{target}/kind=index").select(_name().alias("name"), F.from_json("value", ENTRY).alias("e"))
+    lines.select(F.to_json(F.struct("name", "e.*")).alias("value")).write.text(f"{target}/index")
+    remove(spark, f"{target}/kind=index")
     return target
 
 
-def _stem() -> Column:
-    return F.regexp_extract(F.col("path"), r"([^/]+?)\.(warc\.gz|cdx)$", 1)
+#: An index entry.
+ENTRY = "offset long, length long, id string, type string, uri string, digest string"
+
+
+def _name() -> Column:
+    return F.element_at(F.split(F.input_file_name(), "/"), -1)
+
+
+def _archives(spark: SparkSession, root: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(f"{root}/kind=archive").select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
 
 
 def read_index(spark: SparkSession, root: str) -> DataFrame:
     """(name, offset, length, id, type, uri, digest) of every record under root."""
-    lines = spark.read.option("lineSep", "\u0000").text(f"{root}/index").select("value", F.input_file_name().alias("path"))
-    entry = F.from_json("value", "offset long, length long, id string, type string, uri string, digest string")
-    return lines.select(_stem().alias("name"), entry.alias("e")).select("name", "e.*")
+    return spark.read.schema(f"name string, {ENTRY}").json(f"{root}/index")
 
 
 RECORD = "name string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -245,7 +247,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_archives(spark: SparkSession, root: str) -> DataFrame:
     """Every record that archive and index agree on: (page_id, payload_bytes, payload_digest, record_type, refers_to)."""
-    files = spark.read.format("binaryFile").load(f"{root}/archive").select(_stem().alias("name"), "content")
+    files = _archives(spark, root)
     found = files.mapInArrow(_walk, RECORD)
     index = read_index(spark, root).select("name", "offset", "length", F.col("type").alias("record_type"))
     both = found.join(index, ["name", "offset", "length", "record_type"])
@@ -256,7 +258,7 @@ def fetch(spark: SparkSession, root: str, ids: DataFrame) -> DataFrame:
     """(id, record binary) of the records whose `id` is in ids, cut out by their offsets."""
     wanted = read_index(spark, root).join(ids.select("id").distinct(), "id", "left_semi")
     places = wanted.groupBy("name").agg(F.collect_list(F.struct("id", "offset", "length")).alias("places"))
-    files = spark.read.format("binaryFile").load(f"{root}/archive").select(_stem().alias("name"), "content")
+    files = _archives(spark, root)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
