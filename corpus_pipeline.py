@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from twinsight.llm import cotraining, packing, secret_scan, simhash_dedup, toxicity
-from twinsight.llm.base import stage, table
+from twinsight.llm.base import mark, settle, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -14,7 +14,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return cotraining.keep_good(docs, cotraining.train(docs, table(spark, sf_dir, "labels")))
+    return cotraining.filter_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +42,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rows of the last stage; each stage but the last is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
-    for k, (name, step) in enumerate(STAGES):
-        docs = step(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stage(docs, name)
-    return docs
+    """The rows of the last stage; each stage but the last is written to the shared folder and read again, and what led to it is deleted."""
+    docs, since = table(spark, sf_dir, "documents"), mark()
+    for name, step in STAGES[:-1]:
+        docs = settle(step(spark, docs, sf_dir), name, since)
+    return STAGES[-1][1](spark, docs, sf_dir)
