@@ -438,14 +438,18 @@ def brute_features(text):
     grams += [hashed.SIZE + ((crc(a) * hashed.PAIR + crc(b)) >> 5) % hashed.SIZE for a, b in itertools.pairwise(words)]
     for w in words:
         edged = f"<{w}>"
-        grams += [2 * hashed.SIZE + crc(edged[k : k + 3]) % hashed.SIZE for k in range(max(1, len(edged) - 2))]
+        for three in zip(edged, edged[1:], edged[2:], strict=False):
+            code = 0
+            for c in three:
+                code = (code * hashed.CHARS + ord(c)) % 2**32
+            grams.append(2 * hashed.SIZE + (code * hashed.MIX >> 16) % hashed.SIZE)
     return {g: (n / len(words)) ** 0.5 for g, n in __import__("collections").Counter(grams).items()}
 
 
 def test_staged_features_are_those_of_the_text():
     texts = [t for _, t in EDGES] + ["the " * 700 + "end"]
     words, model = Words(pa.array(texts)), hashed.Linear(np.random.default_rng(3).normal(size=3 * hashed.SIZE), 0.25)
-    packed = hashed.pack_features(words, hashed.word_memo())
+    packed = hashed.pack_features(words)
     whole = hashed.unpack_features(*packed, words.counts)
     want = [0.25 + sum(v * model.beta[g] for g, v in brute_features(t).items()) for t in texts]
     assert np.allclose(model.of_features(whole), want) and np.allclose(hashed.Scorer(model).scores(words), want)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import column_of, map_batches, new_path, remove, slices
-from .hashed import PACKED, SLICE_BYTES, Linear, Scorer, pack_features, packed_matrix, rows_of, unbinary, unpack_features, word_memo
+from .hashed import PACKED, SLICE_BYTES, Linear, Scorer, pack_features, packed_matrix, rows_of, unbinary, unpack_features
 from .training import AdaGrad, Sample, Sparse, labelled_sample, logistic, per_worker, platt, sigmoid, sparse_logistic
 from .wordbatch import Words, byte_counts, byte_table
 
@@ -108,7 +108,7 @@ def stage_features(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, str]:
     def run(text: pa.Array, lang: pa.Array, source: pa.Array, n_chars: pa.Array) -> pa.StructArray:
         words = Words(text)
         meta = pa.array([row.tobytes() for row in page_metadata(text, lang, source, n_chars, words)], pa.binary())
-        columns = [*pack_features(words, _memo()), pa.array(words.counts, pa.int32()), meta]
+        columns = [*pack_features(words), pa.array(words.counts, pa.int32()), meta]
         return pa.StructArray.from_arrays(columns, ["gaps", "counts", "large", "n_words", "meta"])
 
     made = column_of(run, SLICE_BYTES, f"struct<{FEATURES.replace(' ', ':')}>".replace(",:", ","))("text", "lang", "source", F.col("n_chars").cast("long"))
@@ -116,15 +116,6 @@ def stage_features(docs: DataFrame, carry: list[str]) -> tuple[DataFrame, str]:
     return _stage(rows.select("own", "doc_id", "row", "f.*"), "features")
 
 
-_memos: list = []
-
-
-def _memo():
-    if not _memos:
-        _memos.append(word_memo())
-    return _memos[0]
-
-
 def _views(batch: pa.RecordBatch) -> tuple[Sparse, np.ndarray]:
     gaps, counts, large, n_words, meta = (batch.column(c) for c in ("gaps", "counts", "large", "n_words", "meta"))
     x = unbinary(meta, np.float64)[0].reshape(batch.num_rows, -1)

@@ -9,27 +9,30 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-from .bpe import Memo
-from .training import Sample, Sparse, sigmoid, sparse_logistic
+from .training import Sample, Sparse, sparse_logistic
 from .wordbatch import Words
 
 #: Buckets of each kind of n-gram: words, pairs of words, characters.
 BITS = 16
 SIZE = 1 << BITS
 CHAR_N = 3
-#: Factor that mixes two words' hashes into a pair's.
-PAIR = 1_000_003
+#: Factors that mix two words' hashes into a pair's, code points into an n-gram's, and an n-gram's bits.
+PAIR, CHARS, MIX = 1_000_003, 0x01000193, 0x9E3779B1
 #: Bytes of text scored at once: character n-grams take some forty times as much for a moment.
 SLICE_BYTES = 2 << 20
 
 
-def word_bucket(word: str) -> int:
-    return zlib.crc32(word.encode()) & 0xFFFFFFFF
-
-
-def char_buckets(word: str) -> list[int]:
-    edged = f"<{word}>"
-    return [zlib.crc32(edged[k : k + CHAR_N].encode()) % SIZE for k in range(max(1, len(edged) - CHAR_N + 1))]
+def char_buckets(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of every CHAR_N code points of each word between < and >, and how many each word has."""
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    points = np.frombuffer(("<" + "><".join(words) + ">").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    code = np.zeros(max(0, len(points) - CHAR_N + 1), np.uint64)
+    for k in range(CHAR_N):
+        code = (code * np.uint64(CHARS) + points[k : k + len(code)]) & np.uint64(0xFFFFFFFF)
+    code = ((code * np.uint64(MIX)) >> np.uint64(16)) & np.uint64(SIZE - 1)
+    begins = np.cumsum(size + 2) - size - 2
+    at = np.repeat(begins - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return code[at].astype(np.int64), size
 
 
 def pair_buckets(hashes: np.ndarray) -> np.ndarray:
@@ -51,18 +54,15 @@ PACKED = "gaps binary, counts binary, large binary, n_words int"
 def matrix(texts: pa.Array) -> Sparse:
     """Features of texts: roots of relative counts of words, pairs of words and character n-grams."""
     words = Words(texts)
-    return unpack_features(*pack_features(words, word_memo()), words.counts)
+    return unpack_features(*pack_features(words), words.counts)
 
 
 def sample_matrix(sample: Sample) -> Sparse:
     """Features of a sample's texts, worked out by executors."""
-    memos: list = []
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        if not memos:
-            memos.append(word_memo())
         words = Words(batch.column(0))
-        return [*pack_features(words, memos[0]), pa.array(words.counts, pa.int32())]
+        return [*pack_features(words), pa.array(words.counts, pa.int32())]
 
     return packed_matrix(sample.collect(run, ["text"], PACKED, SLICE_BYTES))
 
@@ -97,38 +97,30 @@ def fit_linear(x: Sparse, y: np.ndarray, w: np.ndarray, ridge: float = 1e-5, rou
 class Scorer:
     """Scores of whole texts under a linear model.
 
-    A text's features are roots of relative counts; a distinct (text, word)
-    is therefore counted once, by sorting codes within the slice. Weights of
-    words that were seen before come from a memo.
+    A text's features are roots of relative counts, so that each bucket of a
+    text is counted by sorting codes within the slice.
     """
 
     def __init__(self, model: Linear):
         self.words, self.pairs, self.chars = (model.beta[k * SIZE : (k + 1) * SIZE] for k in range(3))
         self.bias = model.bias
-        self.memo = word_memo()
 
     def scores(self, words: Words) -> np.ndarray:
         n = len(words.counts)
         out = np.full(n, self.bias)
-        for weights, (code, count) in zip((self.words, self.pairs, self.chars), coded(words, self.memo), strict=False):
+        for weights, (code, count) in zip((self.words, self.pairs, self.chars), coded(words), strict=False):
             text = code >> BITS
             out += np.bincount(text, weights[code & (SIZE - 1)] * np.sqrt(count / words.counts[text]), n)
         return out
 
 
-def word_memo() -> Memo:
-    return Memo(lambda w: (word_bucket(w), np.array(char_buckets(w), np.int32)), 50_000)
-
-
-def coded(words: Words, memo: Memo) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def coded(words: Words) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of words, pairs and characters: distinct text * SIZE + bucket, ascending, and how often each occurs."""
     if not len(words.index):
         return
-    known = [memo(w) for w in words.words]
-    hashes = np.array([h for h, _ in known], np.int64)
-    size = np.array([len(c) for _, c in known])
-    flat = np.concatenate([c for _, c in known])
-    first = np.concatenate([[0], np.cumsum(size)[:-1]])
+    hashes = np.fromiter((zlib.crc32(w.encode()) for w in words.words), np.int64, len(words.words))
+    flat, size = char_buckets(words.words)
+    first = np.cumsum(size) - size
     owner = words.owner()
     h = hashes[words.index]
     inside = owner[:-1] == owner[1:]
@@ -143,7 +135,7 @@ def coded(words: Words, memo: Memo) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 LARGE = 255
 
 
-def pack_features(words: Words, memo: Memo) -> list[pa.Array]:
+def pack_features(words: Words) -> list[pa.Array]:
     """Binary columns (gaps, counts, large) of each text's features; lossless, and small once compressed.
 
     gaps has two bytes for each step from a bucket to the next over all three
@@ -151,7 +143,7 @@ def pack_features(words: Words, memo: Memo) -> list[pa.Array]:
     follow as four bytes in large.
     """
     n = len(words.counts)
-    kinds = list(coded(words, memo)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3
+    kinds = list(coded(words)) or [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * 3
     sizes = np.stack([np.bincount(code >> BITS, minlength=n) for code, _ in kinds], axis=1)
     starts = (np.cumsum(sizes.ravel() + 1) - sizes.ravel() - 1).reshape(n, 3)  # of each text's kinds, a mark first
     total = int(sizes.sum()) + 3 * n
@@ -200,5 +192,3 @@ def unpack_features(gaps: pa.Array, counts: pa.Array, large: pa.Array, n_words:
     out.val = np.sqrt(count[keep] / np.asarray(n_words)[out.row])
     return out
 
-
-__all__ = ["Linear", "Scorer", "fit_linear", "matrix", "rows_of", "sample_matrix", "sigmoid"]
