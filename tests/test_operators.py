@@ -258,3 +258,94 @@ def test_windows_of_a_stream_are_those_of_the_batch(spark, tmp_path):
     q = once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("once").count() == 300
+
+
+class Fixed:
+    """A generator whose uniform draws are the middle of their range and whose noise is its deviation."""
+
+    def __init__(self):
+        self.real, self.scales, self.noise = np.random.default_rng(3), [], []
+
+    def uniform(self, a, b, n=None):
+        if n:
+            self.scales.append((a, b))
+        return (a + b) / 2 if n is None else np.full(n, (a + b) / 2)
+
+    def normal(self, mean, deviation, shape):
+        self.noise.append(deviation)
+        return np.full(shape, mean + deviation)
+
+    def choice(self, *args, **kwargs):
+        return self.real.choice(*args, **kwargs)
+
+
+def grid(n):
+    v = np.array([[x, y, 0.0] for x in range(n + 1) for y in range(n + 1)]) * 7
+    at = lambda x, y: x * (n + 1) + y
+    return v, np.array([t for x in range(n) for y in range(n) for t in ((at(x, y), at(x + 1, y), at(x, y + 1)), (at(x + 1, y), at(x + 1, y + 1), at(x, y + 1)))])
+
+
+@pytest.mark.parametrize(("tier", "scale", "noise", "faces"), [("T3", (0.7, 1.5), 0.03, 50), ("T4", (0.6, 1.6), 0.04, 40), ("T5", (0.7, 1.4), 0.025, 200)])
+def test_edits_scale_noise_and_faces(tier, scale, noise, faces):
+    """Noise is in the mesh's own units, whatever its extent; T4 removes an exact number of faces."""
+    v, f = grid(5)
+    rng = Fixed()
+    got, left = geometry.EDITS[tier](v, f, rng)
+    assert rng.scales == [scale] and rng.noise == [pytest.approx(noise)] and len(left) == faces
+    if tier == "T3":
+        assert np.allclose(got, v * 1.1 + 0.03)
+    if tier == "T4":
+        assert set(left.ravel()) == set(range(len(got)))
+    if tier == "T5":
+        assert np.ptp(got[:, 0]) == pytest.approx(35 * 1.05)
+
+
+def test_t4_keeps_four_faces():
+    v, f = grid(2)
+    _, left = geometry.edit_t4(v, f[:4], np.random.default_rng(0))
+    assert len(left) == 4  # a tenth and more would leave fewer, and 5 % of four is none
+
+
+def test_obj_lines_may_be_indented():
+    assert geometry.parse_obj("  v 0 0 0\n\tv 1 0 0\n v  0 1 0 \n   f 1//2 2/1 3 ") == ([[0, 0, 0], [1, 0, 0], [0, 1, 0]], [[0, 1, 2]])
+
+
+def test_points_of_surfaces(spark):
+    """Points lie on the triangles, their numbers follow areas; without area they are vertices, no more than there are."""
+    flat = ("flat", [[0.0, 0.0, 0.0], [3.0, 0.0, 0.0], [0.0, 1.0, 0.0], [3.0, 1.0, 0.0], [3.0, 4.0, 0.0]], [[0, 1, 2], [1, 3, 2], [2, 3, 4]])
+    line = ("line", [[0.0, 0.0, 0.0], [1.0, 0.0, 0.0], [2.0, 0.0, 0.0]], [[0, 1, 2]])
+    meshes = spark.createDataFrame([flat, line], "model_id string, vertices array<array<double>>, faces array<array<int>>")
+    got = geometry.sample_surface(meshes, 4000).toPandas()
+    p = got[got.model_id == "flat"]
+    assert len(p) == 4000 and (p.z == 0).all() and p.x.between(0, 3).all() and p.y.between(0, 4).all()
+    assert (p.y <= 1).mean() == pytest.approx(3 / 7.5, abs=0.03)  # rectangle 3 x 1 beside a triangle of 4.5
+    rest = got[got.model_id == "line"]
+    assert len(rest) == 3 and set(rest.x) <= {0.0, 1.0, 2.0}
+
+
+def test_density_without_a_matrix(monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.2, (60, 3)) for c in (0, 4, 9)] + [rng.uniform(-20, 20, (15, 3))])
+    whole = cluster.density_labels(x)
+    monkeypatch.setattr(cluster, "CHUNK_DISTANCES", 1000)
+    assert (cluster.density_labels(x) == whole).all() and len(set(whole.tolist()) - {-1}) == 3
+
+
+def test_roles_tiers_and_configurations(spark, tmp_path):
+    from twinsight.operators import reporting
+    from twinsight.sources import sinks
+
+    rows = [("s", True, None), ("a", False, "T1"), ("b", False, "T2"), ("x", None, None)]
+    m = spark.createDataFrame(rows, "model_id string, is_source boolean, tier string")
+    ids = lambda d: {r["model_id"] for r in d.collect()}
+    assert ids(retrieval.of_tier(m, "T1")) == {"a", "x"} and ids(retrieval.of_tier(m, "T2", sources=True)) == {"s", "b", "x"} and len(ids(retrieval.of_tier(m, "all"))) == 4
+    assert ids(reporting.select_roles(m, ["source"])) == {"s"} and ids(reporting.select_roles(m, ["clone"], ["T2"])) == {"b"}
+    assert ids(reporting.select_roles(m, ["source", "clone"], ["T1"])) == {"s", "a"} and len(ids(reporting.select_roles(m))) == 4
+    r = spark.createDataFrame([("clip_mean_8", "plain", 0.5), ("clip_max_8", "shaded", 0.7), ("dino_mean_8", "shaded", 0.9), (None, "plain", 0.7)], "config string, mode string, ap double")
+    names = lambda **k: {x["config"] for x in reporting.configurations(r, **k).collect()}
+    assert names(starts="clip") == {"clip_mean_8", "clip_max_8"} and names(contains="mean", lacks="dino") == {"clip_mean_8"} and len(names()) == 3
+    modes = {x["mode"]: x for x in reporting.render_modes(r, ["ap"]).collect()}
+    assert modes["plain"]["ap_gain"] == 0 and modes["shaded"]["ap_gain"] == pytest.approx(0.2) and modes["shaded"]["n"] == 2
+    both = {x["mode"]: (x["n"], x["ap"]) for x in sinks.write_both(r, f"file://{tmp_path}/out", ["mode"], ["ap"]).collect()}
+    assert both == {"plain": (2, pytest.approx(0.6)), "shaded": (2, pytest.approx(0.8))}
+    assert spark.read.parquet(f"file://{tmp_path}/out/detailed").count() == 4

@@ -1,4 +1,4 @@
-"""Density clustering of descriptors in groups of bounded size."""
+"""Density clustering of descriptors, group by group, without a matrix of all distances."""
 
 from __future__ import annotations
 
@@ -6,23 +6,29 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Rows of a group; the method needs all distances of a group at once.
-MAX_ROWS = 20_000
+#: Distances held at once while core distances are worked out.
+CHUNK_DISTANCES = 4_000_000
 
 
 def density_labels(x: np.ndarray, min_size: int = 10, min_samples: int = 5) -> np.ndarray:
-    """Cluster of each row, -1 for noise: mutual-reachability tree, condensed, the most stable clusters kept."""
+    """Cluster of each row, -1 for noise: mutual-reachability tree, condensed, the most stable clusters kept.
+
+    Distances are worked out row by row, so memory follows the rows however
+    many there are; the time follows their square.
+    """
     n = len(x)
     if n < max(2, min_size):
         return np.full(n, -1)
-    d = np.sqrt(np.maximum(((x**2).sum(1)[:, None] + (x**2).sum(1) - 2 * x @ x.T), 0))
-    core = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
+    norms, nth = (x**2).sum(1), min(min_samples, n) - 1
+    distances = lambda rows: np.sqrt(np.maximum(norms[rows, None] + norms - 2 * x[rows] @ x.T, 0))
+    step = max(1, CHUNK_DISTANCES // n)
+    core = np.concatenate([np.partition(distances(slice(k, k + step)), nth, axis=1)[:, nth] for k in range(0, n, step)])
     # Prim's minimum spanning tree of mutual reachability
     inside, best, link, edges = np.zeros(n, bool), np.full(n, np.inf), np.zeros(n, int), []
     at = 0
     for _ in range(n - 1):
         inside[at] = True
-        reach = np.maximum(np.maximum(d[at], core), core[at])
+        reach = np.maximum(np.maximum(distances(slice(at, at + 1))[0], core), core[at])
         closer = ~inside & (reach < best)
         best[closer], link[closer] = reach[closer], at
         nxt = int(np.argmin(np.where(inside, np.inf, best)))
@@ -91,13 +97,14 @@ def density_labels(x: np.ndarray, min_size: int = 10, min_samples: int = 5) -> n
 
 
 def cluster(vectors: DataFrame, min_size: int = 10, min_samples: int = 5) -> DataFrame:
-    """(grp, id, cluster) of vectors (id, grp, vector), each group for itself; groups beyond MAX_ROWS are refused."""
+    """(grp, id, cluster) of vectors (id, grp, vector), each group for itself and none refused.
+
+    A group is one task's work: memory in proportion to its rows, time to
+    their square.
+    """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        if len(rows) > MAX_ROWS:
-            raise ValueError(f"group {key[0]} has {len(rows)} rows; at most {MAX_ROWS} can be clustered together")
         rows = rows.sort_values("id")
         return pd.DataFrame({"grp": key[0], "id": rows["id"].values, "cluster": density_labels(np.array(rows["vector"].tolist(), float), min_size, min_samples)})
 
     return vectors.select("id", "grp", "vector").groupBy("grp").applyInPandas(run, "grp long, id long, cluster long")
-

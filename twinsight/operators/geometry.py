@@ -188,11 +188,11 @@ def parse_obj(text: str | None) -> tuple[list, list] | None:
     vertices, faces = [], []
     try:
         for line in (text or "").splitlines():
-            kind, _, rest = line.partition(" ")
+            kind, *rest = line.split() or [""]
             if kind == "v":
-                vertices.append([float(x) for x in rest.split()[:3]])
+                vertices.append([float(x) for x in rest[:3]])
             elif kind == "f":
-                own = [int(x.split("/")[0]) - 1 for x in rest.split()]
+                own = [int(x.split("/")[0]) - 1 for x in rest]
                 faces += [[own[0], own[k], own[k + 1]] for k in range(1, len(own) - 1)]
     except (ValueError, IndexError):
         return None
@@ -214,7 +214,7 @@ def load_obj(files: DataFrame) -> DataFrame:
 def sample_surface(meshes: DataFrame, n: int = 2000) -> DataFrame:
     """(model_id, pt_idx, x, y, z): n points of each mesh (model_id, vertices, faces), by area, seeded by its id.
 
-    A mesh without area gives points drawn from its vertices.
+    A mesh without area gives points drawn from its vertices, no more than it has.
     """
 
     def run(parts):
@@ -225,12 +225,12 @@ def sample_surface(meshes: DataFrame, n: int = 2000) -> DataFrame:
                 a, b, c = (v[f[:, k]] for k in range(3))
                 area = np.linalg.norm(np.cross(b - a, c - a), axis=1) / 2
                 if area.sum() < 1e-10:
-                    p = v[rng.integers(0, len(v), n)]
+                    p = v[rng.integers(0, len(v), min(n, len(v)))]
                 else:
                     t = rng.choice(len(f), n, p=area / area.sum())
                     r, s = np.sqrt(rng.random(n)), rng.random(n)
                     p = (1 - r)[:, None] * a[t] + (r * (1 - s))[:, None] * b[t] + (r * s)[:, None] * c[t]
-                yield pd.DataFrame({"model_id": model, "pt_idx": np.arange(n, dtype=np.int32), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
+                yield pd.DataFrame({"model_id": model, "pt_idx": np.arange(len(p), dtype=np.int32), "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
     kind = dict(meshes.dtypes)["model_id"]
     return meshes.select("model_id", "vertices", "faces").mapInPandas(run, f"model_id {kind}, pt_idx int, x double, y double, z double")
@@ -245,7 +245,8 @@ def _rotation(rng: np.random.Generator) -> np.ndarray:
 
 
 def _jitter(v: np.ndarray, rng: np.random.Generator, scale: tuple, noise: tuple) -> np.ndarray:
-    return v * rng.uniform(*scale, 3) + rng.normal(0, rng.uniform(*noise), v.shape) * max(float(np.ptp(v, axis=0).max()), 1e-9)
+    """A scale for each axis, then noise in the mesh's own units, its deviation drawn once."""
+    return v * rng.uniform(*scale, 3) + rng.normal(0, rng.uniform(*noise), v.shape)
 
 
 def edit_t1(v, f, rng):
@@ -263,18 +264,22 @@ def edit_t3(v, f, rng):
     return _jitter(v, rng, (0.7, 1.5), (0.01, 0.05)), f
 
 
+def without_faces(f: np.ndarray, n: int, rng: np.random.Generator) -> np.ndarray:
+    """All but n faces, drawn without putting back; their order stays."""
+    return np.delete(f, rng.choice(len(f), n, replace=False), axis=0)
+
+
 def edit_t4(v, f, rng):
-    """10 to 30 % of the faces gone (5 % if too few stay), with the vertices that nothing uses any more."""
-    keep = rng.random(len(f)) >= rng.uniform(0.1, 0.3)
-    if keep.sum() < 4:
-        keep = np.ones(len(f), bool)
-        keep[rng.permutation(len(f))[: int(0.05 * len(f))]] = False
-    used, again = np.unique(f[keep], return_inverse=True)
-    return _jitter(v[used], rng, (0.8, 1.2), (0.005, 0.02)), again.reshape(-1, 3)
+    """10 to 30 % of the faces gone (5 % if fewer than four stay), with the vertices that nothing uses any more; then scale and noise."""
+    kept = without_faces(f, int(len(f) * rng.uniform(0.1, 0.3)), rng)
+    if len(kept) < 4:
+        kept = without_faces(f, int(len(f) * 0.05), rng)
+    used, again = np.unique(kept, return_inverse=True)
+    return _jitter(v[used], rng, (0.6, 1.6), (0.02, 0.06)), again.reshape(-1, 3)
 
 
 def edit_t5(v, f, rng):
-    """Every triangle into four, at its edges' middles, in meshes of up to 50,000 faces; then scale and noise."""
+    """Every triangle into four, at its edges' middles, in meshes of up to 50,000 faces; then scale and noise; decimation is left to a mesh library."""
     if len(f) <= 50_000:
         edges = np.sort(np.concatenate([f[:, [0, 1]], f[:, [1, 2]], f[:, [2, 0]]]), axis=1)
         unique, at = np.unique(edges, axis=0, return_inverse=True)
@@ -282,7 +287,7 @@ def edit_t5(v, f, rng):
         v = np.concatenate([v, v[unique].mean(axis=1)])
         a, b, c = f.T
         f = np.concatenate([np.stack(x, 1) for x in ((a, ab, ca), (ab, b, bc), (ca, bc, c), (ab, bc, ca))])
-    return _jitter(v, rng, (0.6, 1.6), (0.01, 0.04)), f
+    return _jitter(v, rng, (0.7, 1.4), (0.01, 0.04)), f
 
 
 #: Tiers by name; callers may add their own.

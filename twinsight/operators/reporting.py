@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -61,3 +63,25 @@ def in_order(table: DataFrame, key: str, order: list[str]) -> DataFrame:
     """The rows of the listed keys, in the list's order."""
     tags = table.sparkSession.createDataFrame(list(enumerate(order)), f"_i int, {key} string")
     return table.join(F.broadcast(tags), key).orderBy("_i").drop("_i")
+
+
+def select_roles(models: DataFrame, roles: list[str] | None = None, tiers: list[str] | None = None) -> DataFrame:
+    """Rows of models (is_source, tier) of the given roles ('source', 'clone'; none: both); clones of the given tiers (none: all)."""
+    source = F.coalesce("is_source", F.lit(False))
+    of_role = reduce(lambda a, b: a | b, ({"source": source, "clone": ~source}[r] for r in roles)) if roles else F.lit(True)
+    return models.where(of_role & (source | F.col("tier").isin(tiers)) if tiers else of_role)
+
+
+def configurations(results: DataFrame, key: str = "config", starts: str | None = None, contains: str | None = None, lacks: str | None = None) -> DataFrame:
+    """Results whose configuration key starts with, contains and lacks the given texts; null keys go."""
+    keep = F.col(key).isNotNull()
+    for text, fits in ((starts, F.col(key).startswith(starts or "")), (contains, F.col(key).contains(contains or "")), (lacks, ~F.col(key).contains(lacks or ""))):
+        keep = keep if text is None else keep & fits
+    return results.where(keep)
+
+
+def render_modes(results: DataFrame, metrics: list[str], mode: str = "mode", base: str = "plain") -> DataFrame:
+    """(mode, n, and of each metric its mean and the mean's difference to the base mode's) of results, one row for each render mode."""
+    means = results.groupBy(mode).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics))
+    own = means.where(F.col(mode) == base).select(*(F.col(m).alias(f"{m}_base") for m in metrics))
+    return means.crossJoin(F.broadcast(own)).select(mode, "n", *metrics, *((F.col(m) - F.col(f"{m}_base")).alias(f"{m}_gain") for m in metrics))  # one row at most

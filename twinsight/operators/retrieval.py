@@ -51,6 +51,18 @@ def by_tier(metrics: DataFrame) -> DataFrame:
     return sets.where("whole = 1 or tier is not null").select(F.when(F.col("whole") == 1, "all").otherwise(F.col("tier")).alias("tier"), "n_queries", "map", "p1")
 
 
+def of_tier(models: DataFrame, tier: str, sources: bool = False) -> DataFrame:
+    """Rows of models (is_source, tier) that an evaluation of one tier asks about.
+
+    Clones of the tier; ids that are neither source nor clone (is_source null)
+    pass every tier; sources only on request. Tier 'all' passes all.
+    """
+    if tier == "all":
+        return models
+    wanted = F.col("is_source").isNull() | (~F.col("is_source") & (F.col("tier") == tier))
+    return models.where(wanted | F.col("is_source") if sources else wanted)
+
+
 def ndcg(ranks: DataFrame, grade: Column) -> DataFrame:
     """(q, ndcg) of graded relevant items (q, c, rank): gain 2^grade - 1, discount log2(rank + 1)."""
     gain = F.pow(F.lit(2.0), grade) - 1

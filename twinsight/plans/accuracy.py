@@ -119,5 +119,5 @@ def split_counts(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def density_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Clusters and noise of each label's vectors."""
-    found = cluster.cluster(vectors(models(spark, d)), 5, 3)
+    found = cluster.cluster(vectors(models(spark, d)))
     return found.groupBy("grp").agg(F.count("*").alias("n"), F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("n_clusters"), F.count_if(F.col("cluster") < 0).alias("n_noise"))

@@ -181,7 +181,11 @@ def stream_ingest_score(spark: SparkSession, d: str) -> DataFrame:
 
     from .fixtures import vectors
 
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="twinsight-")
+    top = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="twinsight-")
     own = f"{top}/{spark.sparkContext.applicationId}/stream-{uuid.uuid4().hex}"
     e = table(spark, d, "embeddings")
     stream = ingest.read_embeddings(spark, f"{d}/embeddings.parque[t]", e.schema)

@@ -50,3 +50,13 @@ def run_in_batches(spark: SparkSession, work: DataFrame, done_path: str, keys: l
 def console_table(df: DataFrame, widths: dict[str, int]) -> DataFrame:
     """(line): columns at fixed widths."""
     return df.select(F.format_string("  ".join(f"%-{w}s" for w in widths.values()), *(F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in widths)).alias("line"))
+
+
+def write_both(detailed: DataFrame, path: str, by: list[str], metrics: list[str]) -> DataFrame:
+    """Writes rows as Parquet under path/detailed and their means by `by` as JSON under path/summary; returns the summary read back."""
+    detailed.write.mode("overwrite").parquet(f"{path}/detailed")
+    spark = detailed.sparkSession
+    kept = spark.read.schema(detailed.schema).parquet(f"{path}/detailed")
+    summary = kept.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(m).alias(m) for m in metrics))
+    summary.write.mode("overwrite").json(f"{path}/summary")
+    return spark.read.schema(summary.schema).json(f"{path}/summary")
