@@ -349,3 +349,29 @@ def test_roles_tiers_and_configurations(spark, tmp_path):
     both = {x["mode"]: (x["n"], x["ap"]) for x in sinks.write_both(r, f"file://{tmp_path}/out", ["mode"], ["ap"]).collect()}
     assert both == {"plain": (2, pytest.approx(0.6)), "shaded": (2, pytest.approx(0.8))}
     assert spark.read.parquet(f"file://{tmp_path}/out/detailed").count() == 4
+
+
+@pytest.mark.parametrize("tile", [7, 4096])
+def test_places_and_sums_by_brute_force(spark, tile, monkeypatch):
+    monkeypatch.setattr(blocks, "PART_TILES", 2)
+    monkeypatch.setattr(blocks, "TILE_RELEVANT", 50)
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(45, 4))
+    x[10:20] = x[3]  # ties
+    ids, grp = np.arange(45) * 7 % 101 - 30, np.where(np.arange(45) < 25, 1, np.arange(45))  # one group holds most
+    v = vectors(spark, [(int(i), int(g), r) for i, g, r in zip(ids, grp, x)]).cache()
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    sims = np.round(u @ u.T, 12)
+    want = set()
+    for a in range(45):
+        order = sorted((b for b in range(45) if b != a), key=lambda b: (-sims[a, b], ids[b]))
+        want |= {(ids[a], ids[b], k + 1) for k, b in enumerate(order) if grp[a] == grp[b]}
+    assert {tuple(r) for r in blocks.relevant_ranks(v, v, tile_rows=tile).select("q", "c", "rank").collect()} == want
+    upper = [(a, b) for a in range(45) for b in range(45) if ids[a] < ids[b]]
+    pairs = {(r["q"], r["c"]) for r in blocks.similar(v, v, 0.4, ordered=True, tile_rows=tile).collect()}
+    assert pairs == {(ids[a], ids[b]) for a, b in upper if sims[a, b] >= 0.4}
+    assert sum(r["n"] for r in blocks.histogram(v, -1.0, 0.1, 21, tile_rows=tile).collect()) == len(upper)
+    for kind in (True, False):
+        some = np.sort([sims[a, b] for a, b in upper if (grp[a] == grp[b]) == kind])
+        at = [0, len(some) // 2, len(some) - 1]
+        assert blocks.class_places(v, {kind: at}, bins=64, tile_rows=tile)[kind] == pytest.approx(some[at], abs=1e-8)

@@ -36,20 +36,28 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-8)
 
 
-def _packer(payload: str | None):
+def _packer(rows_of: bool):
     def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("id")
         vectors = unit(np.array(rows["vector"].tolist(), np.float64))
-        extra = [None if x is None else [list(y) for y in x] for x in rows[payload]] if payload else None
+        extra = None
+        if rows_of:
+            lists = [b"".join(x) for x in rows["relevant"]]
+            extra = np.array([len(x) // 16 for x in lists], np.int64).tobytes() + b"".join(lists)
         return pd.DataFrame([[int(key[0]), rows["id"].to_numpy(np.int64).tobytes(), rows["grp"].to_numpy(np.int64).tobytes(), vectors.tobytes(), extra]], columns=["tile", "ids", "groups", "vectors", "payload"])
 
     return pack
 
 
-def tiles(vectors: DataFrame, n_tiles: int, payload: str | None = None) -> DataFrame:
-    """One row per tile of `vectors` (id long, grp long, vector array<double>)."""
-    rows = vectors.withColumn("tile", F.pmod(F.xxhash64("id"), F.lit(n_tiles)).cast("int"))
-    return rows.groupBy("tile").applyInPandas(_packer(payload), "tile int, ids binary, groups binary, vectors binary, payload array<array<array<double>>>")
+def tiles(vectors: DataFrame, n_tiles: int, payload: bool = False) -> DataFrame:
+    """One row per tile of `vectors` (id long, grp long, vector array<double>).
+
+    With payload a row has `part`, which spreads rows of an id over tiles, and
+    `relevant`, packed (id, cosine) pairs; a tile's payload is the number of
+    pairs of each row, then the pairs.
+    """
+    rows = vectors.withColumn("tile", F.pmod(F.xxhash64("id", "part") if payload else F.xxhash64("id"), F.lit(n_tiles)).cast("int"))
+    return rows.groupBy("tile").applyInPandas(_packer(payload), "tile int, ids binary, groups binary, vectors binary, payload binary")
 
 
 def count_rows(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
@@ -57,13 +65,19 @@ def count_rows(queries: DataFrame, corpus: DataFrame) -> tuple[int, int]:
     return n, n if corpus is queries else corpus.count()
 
 
-def product(queries: DataFrame, corpus: DataFrame, kernel: Callable[[Tile, Tile], Iterator[pa.RecordBatch]], schema: str, tile_rows: int = TILE_ROWS, payload: str | None = None, sizes: tuple[int, int] | None = None) -> DataFrame:
-    """kernel's rows over all pairs of query and corpus tiles; `sizes` are both sides' rows, if known."""
+def product(queries: DataFrame, corpus: DataFrame, kernel: Callable[[Tile, Tile], Iterator[pa.RecordBatch]], schema: str, tile_rows: int = TILE_ROWS, sizes: tuple[int, int] | None = None, payload_tiles: int = 0, once: bool = False) -> DataFrame:
+    """kernel's rows over all pairs of query and corpus tiles; `sizes` are both sides' rows, if known.
+
+    payload_tiles is the number of query tiles where queries carry a payload.
+    With `once`, for a table against itself, tiles i <= j meet and no pair of
+    tiles is worked on twice.
+    """
     sizes = sizes or count_rows(queries, corpus)
     nq, nc = (max(1, math.ceil(n / tile_rows)) for n in sizes)
+    nq = payload_tiles or nq
     side = lambda t, s, key: t.select(F.col("tile").alias(key), *(F.col(c).alias(f"{s}_{c}") for c in ("ids", "groups", "vectors", "payload")))
-    left = side(tiles(queries, nq, payload), "q", "i").withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(nc - 1))))
-    right = side(tiles(corpus, nc), "c", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(nq - 1))))
+    left = side(tiles(queries, nq, payload_tiles > 0), "q", "i").withColumn("j", F.explode(F.sequence(F.col("i") if once else F.lit(0), F.lit(nc - 1))))
+    right = side(tiles(corpus, nc), "c", "j").withColumn("i", F.explode(F.sequence(F.lit(0), F.col("j") if once else F.lit(nq - 1))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,27 +121,38 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int, tile_rows: int = TILE
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _upper(q: Tile, c: Tile, rows: slice) -> np.ndarray:
+    """Which pairs of two tiles that meet once count: all of different tiles, q < c within one."""
+    if q.ids[0] != c.ids[0]:
+        return np.ones((len(q.ids[rows]), len(c.ids)), bool)
+    return q.ids[rows][:, None] < c.ids
+
+
 def similar(queries: DataFrame, corpus: DataFrame, threshold: float, same_group: bool | None = None, ordered: bool = False, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(q, c, sim) with sim >= threshold, themselves excluded; `ordered` keeps q < c only.
 
     same_group limits pairs to equal (True) or different (False) groups.
     """
+    once = ordered and corpus is queries
 
     def kernel(q: Tile, c: Tile) -> Iterator[pa.RecordBatch]:
         for rows, sims in chunks(q, c):
             own, groups = q.ids[rows], q.groups[rows]
             keep = sims >= threshold
-            keep &= own[:, None] < c.ids if ordered else own[:, None] != c.ids
+            keep &= _upper(q, c, rows) if once else own[:, None] < c.ids if ordered else own[:, None] != c.ids
             if same_group is not None:
                 keep &= (groups[:, None] == c.groups) == same_group
             i, j = np.nonzero(keep)
-            yield _batch({"q": own[i], "c": c.ids[j], "sim": sims[i, j]})
+            a, b = own[i], c.ids[j]
+            if once:
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            yield _batch({"q": a, "c": b, "sim": sims[i, j]})
 
-    return product(queries, corpus, kernel, "q long, c long, sim double", tile_rows)
+    return product(queries, corpus, kernel, "q long, c long, sim double", tile_rows, once=once)
 
 
-def histogram(queries: DataFrame, corpus: DataFrame, low: float, step: float, bins: int, tile_rows: int = TILE_ROWS) -> DataFrame:
-    """(same boolean, bin int, n long) of the cosines of all unordered pairs q < c.
+def histogram(vectors: DataFrame, low: float, step: float, bins: int, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(same boolean, bin int, n long) of the cosines of all unordered pairs of vectors.
 
     bin b counts similarities of at least the b-th threshold low + step * b
     and below the next; -1 counts what lies below the first.
@@ -137,48 +162,126 @@ def histogram(queries: DataFrame, corpus: DataFrame, low: float, step: float, bi
     def kernel(q: Tile, c: Tile) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, bins + 1), np.int64)
         for rows, sims in chunks(q, c):
-            i, j = np.nonzero(q.ids[rows][:, None] < c.ids)
+            i, j = np.nonzero(_upper(q, c, rows))
             at = np.searchsorted(edges, sims[i, j], "right")
             same = (q.groups[rows][i] == c.groups[j]).astype(np.int64)
             total += np.bincount(same * (bins + 1) + at, minlength=2 * (bins + 1)).reshape(2, -1)
         same, at = np.nonzero(total)
         yield _batch({"same": same.astype(bool), "bin": (at - 1).astype(np.int32), "n": total[same, at]})
 
-    found = product(queries, corpus, kernel, "same boolean, bin int, n long", tile_rows)
+    found = product(vectors, vectors, kernel, "same boolean, bin int, n long", tile_rows, once=True)
     return found.groupBy("same", "bin").agg(F.sum("n").alias("n"))
 
 
+def class_sums(vectors: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+    """(same, n, total, squares, min, max) of the cosines of all unordered pairs, of one group or of two."""
+
+    def kernel(q: Tile, c: Tile) -> Iterator[pa.RecordBatch]:
+        for rows, sims in chunks(q, c):
+            upper, same = _upper(q, c, rows), q.groups[rows][:, None] == c.groups
+            for kind in (False, True):
+                x = sims[upper & (same == kind)]
+                if len(x):
+                    yield _batch({"same": [kind], "n": [len(x)], "total": [float(x.sum())], "squares": [float((x * x).sum())], "min": [float(x.min())], "max": [float(x.max())]})
+
+    found = product(vectors, vectors, kernel, "same boolean, n long, total double, squares double, min double, max double", tile_rows, once=True)
+    return found.groupBy("same").agg(*(F.sum(c).alias(c) for c in ("n", "total", "squares")), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def class_places(vectors: DataFrame, places: dict[bool, list[int]], bins: int = 4096, width: float = 1e-9, tile_rows: int = TILE_ROWS) -> dict[bool, list[float]]:
+    """Values at 0-based places in the ascending cosines of all unordered pairs, by class (of one group, or of two).
+
+    Exact to `width`: each pass over the tiles counts the bins of a shorter
+    range around every place, so no pair leaves its tile and the driver sees
+    `bins` counts a place.
+    """
+    ranges = {(kind, at): (-1.0 - 1e-9, 2.0 + 2e-9, at) for kind, wanted in places.items() for at in wanted}  # low, length, place in the range
+    while any(length > width for _, length, _ in ranges.values()):
+        now = dict(enumerate(ranges.items()))
+
+        def kernel(q: Tile, c: Tile, now=now) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(now), bins), np.int64)
+            for rows, sims in chunks(q, c):
+                upper, same = _upper(q, c, rows), q.groups[rows][:, None] == c.groups
+                for k, ((kind, _), (low, length, _)) in now.items():
+                    x = (sims[upper & (same == kind)] - low) * (bins / length)
+                    x = np.floor(x[(x >= 0) & (x < bins)]).astype(np.int64)
+                    total[k] += np.bincount(x, minlength=bins)
+            k, b = np.nonzero(total)
+            yield _batch({"k": k.astype(np.int32), "bin": b.astype(np.int32), "n": total[k, b]})
+
+        found = product(vectors, vectors, kernel, "k int, bin int, n long", tile_rows, once=True).groupBy("k", "bin").agg(F.sum("n").alias("n"))
+        counts = np.zeros((len(now), bins), np.int64)
+        for r in found.toLocalIterator():  # a count for each bin
+            counts[r["k"], r["bin"]] = r["n"]
+        for k, (key, (low, length, at)) in now.items():
+            ends = np.cumsum(counts[k])
+            b = min(int(np.searchsorted(ends, at, "right")), bins - 1)
+            ranges[key] = (low + b * length / bins, length / bins, at - int(ends[b] - counts[k, b]))
+    return {kind: [ranges[kind, at][0] + ranges[kind, at][1] / 2 for at in wanted] for kind, wanted in places.items()}
+
+
+#: Parts of a query's relevant rows: as many as come from this many corpus tiles; and packed relevant rows of a tile.
+PART_TILES, TILE_RELEVANT = 16, 1 << 20
+#: Fixed point of 12 decimals, shifted so that -1 to 1 fits into 41 bits.
+_UNITS, _SHIFT, _BITS = 1e12, 1 << 40, 41
+
+
+def _descending(sims: np.ndarray) -> np.ndarray:
+    """Integers that order cosines from the greatest, equal where 12 decimals are."""
+    return _SHIFT - np.rint(sims * _UNITS).astype(np.int64)
+
+
 def relevant_ranks(queries: DataFrame, corpus: DataFrame, tile_rows: int = TILE_ROWS, sizes: tuple[int, int] | None = None) -> DataFrame:
     """(q, c, sim, rank) of each query's relevant rows: those of its group, itself excluded.
 
-    rank is the place in the full ranking by descending cosine, ties by id.
-    Places are counts over tiles, so the ranking itself, quadratic in the
-    input, is never made.
+    rank is the place in the full ranking by descending cosine (12 decimals),
+    ties by id. Places are counts over tiles, so the ranking itself, quadratic
+    in the input, is never made. Relevant rows travel packed, in parts: what a
+    part holds is bounded by PART_TILES tiles, what a tile of parts holds by
+    TILE_RELEVANT, however large a group is.
     """
 
     def members(q: Tile, c: Tile) -> Iterator[pa.RecordBatch]:
         for rows, sims in chunks(q, c):
-            i, j = np.nonzero((q.groups[rows][:, None] == c.groups) & (q.ids[rows][:, None] != c.ids))
-            yield _batch({"q": q.ids[rows][i], "c": c.ids[j], "sim": sims[i, j]})
+            own = q.ids[rows]
+            i, j = np.nonzero((q.groups[rows][:, None] == c.groups) & (own[:, None] != c.ids))
+            pairs = np.stack([c.ids[j], sims[i, j].view(np.int64)], 1)
+            ends = np.cumsum(np.bincount(i, minlength=len(own)))
+            some = np.flatnonzero(np.diff(ends, prepend=0))
+            if len(some):
+                yield _batch({"q": own[some], "first": np.full(len(some), c.ids[0]), "relevant": [pairs[(ends[k - 1] if k else 0) : ends[k]].tobytes() for k in some]})
 
     sizes = sizes or count_rows(queries, corpus)
-    found = product(queries, corpus, members, "q long, c long, sim double", tile_rows, sizes=sizes)
-    mine = found.groupBy(F.col("q").alias("id")).agg(F.collect_list(F.array(F.col("sim"), F.col("c").cast("double"))).alias("relevant"))
-    asked = queries.join(mine, "id").select("id", "grp", "vector", "relevant")
+    nq, nc = (max(1, math.ceil(n / tile_rows)) for n in sizes)
+    of = lambda t, n: t.groupBy("grp").agg(F.count("*").cast("double").alias(n))
+    pairs = of(queries, "a").join(of(corpus, "b"), "grp").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0.0))).first()[0]
+    found = product(queries, corpus, members, "q long, first long, relevant binary", tile_rows, sizes)
+    part = F.pmod(F.xxhash64("first"), F.lit(math.ceil(nc / PART_TILES))).cast("int")
+    mine = found.groupBy(F.col("q").alias("id"), part.alias("part")).agg(F.collect_list("relevant").alias("relevant"))  # of PART_TILES tiles
+    asked = queries.join(mine, "id").select("id", "part", "grp", "vector", "relevant")
 
     def places(q: Tile, c: Tile) -> Iterator[pa.RecordBatch]:
-        for rows, sims in chunks(q, c):
-            for k, (own, of) in enumerate(zip(q.ids[rows], q.payload[rows], strict=True)):
-                others = c.ids != own
-                values = np.round(sims[k], 12)
-                order = np.argsort(values[others], kind="stable")
-                ranked, named = values[others][order], c.ids[others][order]
-                want = np.array(of)
-                sim, rel = np.round(want[:, 0], 12), want[:, 1].astype(np.int64)
-                above = len(ranked) - np.searchsorted(ranked, sim, "right")
-                first, last = np.searchsorted(ranked, sim, "left"), np.searchsorted(ranked, sim, "right")
-                ties = np.array([int((named[a:b] < r).sum()) for a, b, r in zip(first, last, rel, strict=True)], np.int64)
-                yield _batch({"q": np.full(len(rel), own), "c": rel, "sim": want[:, 0], "before": above + ties})
-
-    counted = product(asked, corpus, places, "q long, c long, sim double, before long", tile_rows, "relevant", sizes)
+        n = len(q.ids)
+        numbers = np.frombuffer(q.payload[: 8 * n], np.int64)
+        want = np.frombuffer(q.payload[8 * n :], np.int64).reshape(-1, 2)
+        ends = np.cumsum(numbers)
+        low = len(c.ids).bit_length()
+        step = min(CHUNK_ROWS, 1 << (63 - _BITS - low))  # row, cosine and place of the id share an integer
+        for at in range(0, n, step):
+            rows = slice(at, at + step)
+            own = q.ids[rows]
+            row = np.arange(len(own), dtype=np.int64)
+            keys = _descending(q.vectors[rows] @ c.vectors.T)
+            keys[own[:, None] == c.ids] = (1 << _BITS) - 1  # a query comes after everything
+            keys = (row[:, None] << (_BITS + low)) | (keys << low) | np.arange(len(c.ids), dtype=np.int64)
+            keys.sort(axis=1)
+            mine = want[ends[at] - numbers[at] : ends[min(at + step, n) - 1]]
+            of = np.repeat(row, numbers[rows])
+            sims = np.ascontiguousarray(mine[:, 1]).view(np.float64)
+            sought = (of << (_BITS + low)) | (_descending(sims) << low) | np.searchsorted(c.ids, mine[:, 0])
+            before = np.searchsorted(keys.reshape(-1), sought) - of * len(c.ids)
+            yield _batch({"q": own[of], "c": mine[:, 0], "sim": sims, "before": before})
+
+    counted = product(asked, corpus, places, "q long, c long, sim double, before long", tile_rows, sizes, max(nq, math.ceil(pairs / TILE_RELEVANT)))
     return counted.groupBy("q", "c").agg(F.max("sim").alias("sim"), (F.sum("before") + 1).alias("rank"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import blocks
+
 #: Fixed value: what keeps the curve's denominators above zero.
 EPSILON = 1e-8
 
@@ -16,6 +18,20 @@ def class_stats(sims: DataFrame, by: str) -> DataFrame:
     return sims.groupBy(by).agg(F.count("*").alias("n"), r(F.avg("sim")).alias("mean"), r(F.median("sim")).alias("median"), r(F.min("sim")).alias("min"), r(F.max("sim")).alias("max"), r(F.stddev_pop("sim")).alias("std"))
 
 
+def pair_stats(vectors: DataFrame) -> DataFrame:
+    """class_stats of the cosines of all unordered pairs, by `same` (of one group, or of two), without a row for any pair."""
+    spark = vectors.sparkSession
+    sums = {r["same"]: r for r in blocks.class_sums(vectors).collect()}  # two rows at most
+    middle = {k: sorted({(r["n"] - 1) // 2, r["n"] // 2}) for k, r in sums.items()}
+    medians = {k: sum(x) / len(x) for k, x in blocks.class_places(vectors, middle).items()}
+    rows = []
+    for k, r in sums.items():
+        mean = r["total"] / r["n"]
+        rows.append((k, r["n"], mean, medians[k], r["min"], r["max"], max(r["squares"] / r["n"] - mean * mean, 0.0) ** 0.5))
+    got = spark.createDataFrame(rows, "same boolean, n long, mean double, median double, min double, max double, std double")
+    return got.select("same", "n", *(F.round(c, 6).alias(c) for c in ("mean", "median", "min", "max", "std")))
+
+
 def curve(counts: DataFrame, low: float, step: float, bins: int) -> DataFrame:
     """(i, threshold, tp, fp, precision, recall, f1) from counts (same, bin, n) of similarities.
 

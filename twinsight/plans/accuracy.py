@@ -15,12 +15,7 @@ TAUS = (0.20, 0.25, 0.30, 0.35, 0.40)
 
 @query(f"with {PAIRS} select gq = gc as same, count(*) as n, round(avg(sim), 6) as mean, round(median(sim), 6) as median, round(min(sim), 6) as min, round(max(sim), 6) as max, round(stddev_pop(sim), 6) as std from s where q < c group by 1")
 def sim_stats_by_class(spark: SparkSession, d: str) -> DataFrame:
-    m = models(spark, d)
-    v = vectors(m)
-    pairs = blocks.similar(v, v, -2.0, ordered=True)
-    g = lambda k: m.select(F.col("model_id").alias(k), F.col("source_uid").alias(f"g{k}"))
-    marked = pairs.join(g("q"), "q").join(g("c"), "c").withColumn("same", F.col("gq") == F.col("gc"))
-    return calibrate.class_stats(marked, "same")
+    return calibrate.pair_stats(vectors(models(spark, d)))
 
 
 _CURVE = f"""with {PAIRS}, th as (select i::int as i, {LOW} + {STEP} * i as threshold from range({BINS}) r(i)),
@@ -31,7 +26,7 @@ f as (select *, 2 * precision * recall / (precision + recall + 1e-8) as f1 from
 
 def _curve(spark: SparkSession, d: str) -> DataFrame:
     v = vectors(models(spark, d))
-    return calibrate.curve(blocks.histogram(v, v, LOW, STEP, BINS), LOW, STEP, BINS)
+    return calibrate.curve(blocks.histogram(v, LOW, STEP, BINS), LOW, STEP, BINS)
 
 
 @query(f"{_CURVE} select i, tp, fp, round(threshold, 6) as threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) as f1 from f")
