@@ -375,3 +375,41 @@ def test_places_and_sums_by_brute_force(spark, tile, monkeypatch):
         some = np.sort([sims[a, b] for a, b in upper if (grp[a] == grp[b]) == kind])
         at = [0, len(some) // 2, len(some) - 1]
         assert blocks.class_places(v, {kind: at}, bins=64, tile_rows=tile)[kind] == pytest.approx(some[at], abs=1e-8)
+
+
+def test_stages_are_written_and_not_asked_again(spark, tmp_path):
+    calls = tmp_path / "calls"
+    calls.mkdir()
+
+    def judge():
+        import uuid
+
+        def answer(prompt, a, b):
+            (calls / uuid.uuid4().hex).write_text(prompt)
+            if "screen" in prompt:
+                return "DIFFERENT" if b == b"x" else "LIKELY_DUPLICATE"
+            return "EVIDENCE" if a == b else "NO_EVIDENCE"
+
+        return answer
+
+    near = spark.createDataFrame([(1, 2, 0.9), (1, 3, 0.8), (1, 4, 0.7), (1, 5, 0.6)], "q long, c long, sim double")
+    have = [(m, v, bytearray(b"same")) for m in (1, 2) for v in range(4)] + [(3, v, bytearray(b"x")) for v in range(4)] + [(5, 0, bytearray(b"same")), (5, 2, bytearray(b"same"))]
+    views = spark.createDataFrame(have, "model_id long, view_idx int, content binary")
+    args = (near, views, judge, str(tmp_path / "run"), "screen", "angle %d", 4, 3)
+    rows = {r["c"]: (r["stage2"], r["counted"], r["evidence_count"], r["outcome"]) for r in rescore.run_stages(*args).collect()}
+    assert rows == {
+        2: ("LIKELY_DUPLICATE", True, 4, "confirmed"),
+        3: ("DIFFERENT", True, None, "stage2"),
+        4: ("UNCERTAIN", False, 0, "stage3"),  # no views: uncertain, all angles skipped
+        5: ("LIKELY_DUPLICATE", True, 2, "stage3"),
+    }
+    evidence = spark.read.parquet(str(tmp_path / "run" / "evidence"))
+    assert evidence.where("reply = 'SKIPPED'").count() == 4 + 2
+    asked = sorted(f.read_text() for f in calls.iterdir())
+    assert len(asked) == 3 + 4 + 2 and asked.count("angle 180") == 2
+    again = rescore.run_stages(*args)
+    assert again.count() == 4 and len(list(calls.iterdir())) == len(asked)
+    truth_ = spark.createDataFrame([(1, 1, None), (2, 1, "T1"), (3, 9, "T2"), (4, 9, "T1"), (5, 1, "T3")], "model_id long, source_uid long, tier string")
+    table = {(r["method"], r["tier"]): (r["tp"], r["fp"], r["relevant"]) for r in rescore.compare(again, truth_, near.select("q").distinct()).collect()}
+    assert table["embedding", "all"] == (2, 2, 2) and table["rescorer", "all"] == (1, 0, 2)
+    assert table["embedding", "T1"] == (1, 1, 1) and table["rescorer", "T3"] == (0, 0, 1)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import f1, safe_div
-from ..functions.verdicts import DIFFERENT, LIKELY, SKIPPED, UNCERTAIN, is_evidence, screen_verdict
+from ..functions.verdicts import DIFFERENT, LIKELY, SKIPPED, UNCERTAIN, angle_prompt, is_evidence, screen_verdict
 
 TIERS = ("T1", "T2", "T3", "T4", "T5")
 
@@ -154,3 +154,56 @@ def nested(results: DataFrame, evidence: DataFrame) -> DataFrame:
     item = F.struct(F.round("sim", 6).alias("sim_score"), F.col("c").alias("candidate"), F.col("stage2").alias("stage2_result"), "evidence_count", F.when(F.col("outcome") != "confirmed", F.col("outcome")).alias("rejected_at"), F.when(F.col("stage2") != DIFFERENT, F.col("angle_details")).alias("angle_details"))
     pick = lambda ok: F.sort_array(F.collect_list(F.when((F.col("outcome") == "confirmed") == ok, item)), asc=False)
     return full.groupBy(F.col("q").alias("query")).agg(pick(True).alias("confirmed_duplicates"), pick(False).alias("rejected"))
+
+
+def stage_rows(make: Callable[[], DataFrame], spark, path: str, resume: bool) -> DataFrame:
+    """A stage's rows as written at path; with resume, a stage that was written whole is read, and its work not done again."""
+    jvm = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    done = jvm.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jvm)
+    if not (resume and done):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def run_stages(candidates: DataFrame, views: DataFrame, judge: Callable[[], Judge], path: str, screen_prompt: str, angle_template: str, n_views: int, min_evidence: int, skip: bool = False, resume: bool = True, retries: int = 3, wait: float = 1.0) -> DataFrame:
+    """candidates (q, c, sim) through screening and view comparison; each stage's replies are written under path before they are used.
+
+    views (model_id, view_idx, content) holds at most one row for each model
+    and view. Screening compares view 0 of both models; a missing view is
+    uncertain and asks nobody. Verification compares each of n_views angles; an
+    angle of which a view is missing is SKIPPED, asks nobody and is no
+    evidence. A judge answers once for each row of a stage that was written
+    whole; a run that starts again reads what is there. Returns verified()'s rows.
+    """
+    spark = candidates.sparkSession
+    asked = stage_rows(lambda: candidates.select("q", "c", "sim"), spark, f"{path}/candidates", resume)
+    side = lambda v, s, name: v.select(F.col("model_id").alias(s), "view_idx", F.col("content").alias(name))
+
+    def both(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(side(views, "q", "a"), ["q", "view_idx"], "left").join(side(views, "c", "b"), ["c", "view_idx"], "left")
+        return found.withColumn("has_views", F.col("a").isNotNull() & F.col("b").isNotNull())
+
+    def replies(pairs: DataFrame) -> DataFrame:
+        got = ask(pairs.where("has_views"), judge, retries, wait)
+        return got.drop("prompt", "a", "b").unionByName(pairs.where("not has_views").drop("prompt", "a", "b").withColumn("reply", F.lit(None).cast("string")))
+
+    first = asked.withColumn("view_idx", F.lit(0))
+    if skip:
+        screen = screened(asked, skip=True)
+    else:
+        screen = screened(stage_rows(lambda: replies(both(first).withColumn("prompt", F.lit(screen_prompt))).drop("view_idx"), spark, f"{path}/screen", resume))
+    went = screen.where(F.col("stage2") != DIFFERENT).select("q", "c")
+    angles = went.withColumn("view_idx", F.explode(F.sequence(F.lit(0), F.lit(n_views - 1))))
+    prompt = angle_prompt(angle_template, (F.col("view_idx") * F.lit(360) / F.lit(n_views)).cast("int"))
+    evidence = stage_rows(lambda: replies(both(angles).withColumn("prompt", prompt)).withColumn("reply", F.when(F.col("has_views"), F.col("reply")).otherwise(F.lit(SKIPPED))), spark, f"{path}/evidence", resume)
+    return verified(screen, evidence, n_views, min_evidence)
+
+
+def compare(results: DataFrame, truth: DataFrame, queries: DataFrame) -> DataFrame:
+    """(method, tier, tp, fp, relevant, precision, recall, f1): all retrieved candidates against those confirmed, overall ('all') and by tier."""
+    out = None
+    for method, flagged in (("embedding", results), ("rescorer", results.where("outcome = 'confirmed'"))):
+        for part in (evaluate(flagged, truth, queries).withColumn("tier", F.lit("all")), evaluate_by_tier(flagged, truth, queries)):
+            part = part.withColumn("method", F.lit(method))
+            out = part if out is None else out.unionByName(part)
+    return out.select("method", "tier", "tp", "fp", "relevant", "precision", "recall", "f1")
