@@ -413,3 +413,12 @@ def test_stages_are_written_and_not_asked_again(spark, tmp_path):
     table = {(r["method"], r["tier"]): (r["tp"], r["fp"], r["relevant"]) for r in rescore.compare(again, truth_, near.select("q").distinct()).collect()}
     assert table["embedding", "all"] == (2, 2, 2) and table["rescorer", "all"] == (1, 0, 2)
     assert table["embedding", "T1"] == (1, 1, 1) and table["rescorer", "T3"] == (0, 0, 1)
+
+
+def test_probes_are_counted_before_they_are_broadcast(spark, monkeypatch):
+    v = vectors(spark, [(1, 0, [1, 0]), (2, 0, [0, 1]), (3, 0, [1, 0.1])])
+    probes = spark.createDataFrame([(9, [1.0, 0.0])], "q long, qv array<double>")
+    assert {(r["q"], r["c"]) for r in ingest.score_small(v, probes, 0.9).collect()} == {(9, 1), (9, 3)}
+    monkeypatch.setattr(ingest, "MAX_PROBES", 0)
+    with pytest.raises(ValueError, match="score_stream"):
+        ingest.score_small(v, probes, 0.9)

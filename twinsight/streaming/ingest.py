@@ -27,8 +27,18 @@ def score_stream(stream: DataFrame, corpus: DataFrame, threshold: float, out: st
     return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+#: Rows of probes that travel to every task; more go through score_stream's tiles.
+MAX_PROBES = 1024
+
+
 def score_small(stream: DataFrame, probes: DataFrame, threshold: float) -> DataFrame:
-    """Stream-static join with a few probes (q, qv); all of it in the JVM."""
+    """Stream-static join with a few probes (q, qv); all of it in the JVM.
+
+    Probes are broadcast, so their number is checked: beyond MAX_PROBES this
+    refuses, and score_stream is the way, whose tiles know no such bound.
+    """
+    if probes.limit(MAX_PROBES + 1).count() > MAX_PROBES:
+        raise ValueError(f"more than {MAX_PROBES} probes: use score_stream")
     return stream.join(F.broadcast(probes), cosine("vector", "qv") >= threshold).select("q", F.col("id").alias("c"), cosine("vector", "qv").alias("sim"))
 
 
