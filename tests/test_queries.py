@@ -74,6 +74,6 @@ def test_generators(spark):
     clones = registry.QUERIES["clone_meshes"](spark, DATA).toPandas()
     assert len(clones) == 10 * 5 * 3 and clones.error.isna().all()
     assert (clones[clones.tier == "T5"].n_faces == 24).all()
-    points = registry.QUERIES["surface_points"](spark, DATA)
-    assert points.count() == 10 * 200
-    assert registry.QUERIES["view_matrices"](spark, DATA).count() == 10 * 28
+    models = spark.read.parquet(f"{DATA}/embeddings.parquet").count()
+    assert registry.QUERIES["surface_points"](spark, DATA).count() == models * 200
+    assert registry.QUERIES["view_matrices"](spark, DATA).count() == models * 28

@@ -31,20 +31,46 @@ def cloud_distances(pairs: DataFrame, points: DataFrame) -> DataFrame:
     return ways.groupBy("a", "b").agg((F.sum("mean") / 2).alias("chamfer"), F.max("most").alias("hausdorff"))
 
 
+def _least(x: np.ndarray, y: np.ndarray, block: int) -> np.ndarray:
+    """Distance of each point of x to the nearest of y."""
+    return np.concatenate([np.sqrt(((x[k : k + block, None] - y[None]) ** 2).sum(-1)).min(1) for k in range(0, len(x), block)])
+
+
+def _both_ways(x: np.ndarray, y: np.ndarray, block: int) -> tuple[float, float]:
+    """Chamfer and Hausdorff distance."""
+    ab, ba = _least(x, y, block), _least(y, x, block)
+    return (ab.mean() + ba.mean()) / 2, max(ab.max(), ba.max())
+
+
+def group_distances(clouds: DataFrame, salts: int = 8, block: int = 512) -> DataFrame:
+    """(a, b, chamfer, hausdorff) of all pairs a < b of one group, from clouds (model_id, source_uid, points array<array<double>>).
+
+    A cloud without points or a null one has no distances. Each group is split
+    into `salts` parts, which every member meets, so that a large group is
+    spread over tasks; pairs pass from the join to the kernel, not through a
+    shuffle.
+    """
+    have = clouds.where(F.size("points") > 0)
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+    a = have.select("source_uid", every.alias("salt"), F.col("model_id").alias("a"), F.col("points").alias("pa"))
+    b = have.select("source_uid", F.pmod(F.xxhash64("model_id"), F.lit(salts)).cast("int").alias("salt"), F.col("model_id").alias("b"), F.col("points").alias("pb"))
+
+    def run(parts):
+        for part in parts:
+            rows = [(a, b, *_both_ways(np.stack(x), np.stack(y), block)) for a, b, x, y in zip(part["a"], part["b"], part["pa"], part["pb"], strict=True)]
+            yield pd.DataFrame(rows, columns=["a", "b", "chamfer", "hausdorff"])
+
+    kind = dict(clouds.dtypes)["model_id"]
+    return a.join(b, ["source_uid", "salt"]).where("a < b").select("a", "b", "pa", "pb").mapInPandas(run, f"a {kind}, b {kind}, chamfer double, hausdorff double")
+
+
 def cloud_distances_blocked(pairs: DataFrame, clouds: DataFrame, block: int = 512) -> DataFrame:
     """The same for large clouds (model_id, points array<array<double>>): numpy blocks, no row for a pair of points."""
     side = lambda s: clouds.select(F.col("model_id").alias(s), F.col("points").alias(f"p{s}"))
 
-    def least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.sqrt(((x[k : k + block, None] - y[None]) ** 2).sum(-1)).min(1) for k in range(0, len(x), block)])
-
     def run(parts):
         for part in parts:
-            rows = []
-            for a, b, pa_, pb_ in zip(part["a"], part["b"], part["pa"], part["pb"], strict=True):
-                x, y = np.array(pa_.tolist(), float), np.array(pb_.tolist(), float)
-                ab, ba = least(x, y), least(y, x)
-                rows.append((a, b, (ab.mean() + ba.mean()) / 2, max(ab.max(), ba.max())))
+            rows = [(a, b, *_both_ways(np.stack(x), np.stack(y), block)) for a, b, x, y in zip(part["a"], part["b"], part["pa"], part["pb"], strict=True)]
             yield pd.DataFrame(rows, columns=["a", "b", "chamfer", "hausdorff"])
 
     kind = dict(clouds.dtypes)["model_id"]

@@ -51,44 +51,65 @@ def image_label(alpha_max: Column, foreground: Column, deviation: Column, exists
     )
 
 
+#: Fixed values of the format: samples of a pixel by colour type; first column, first row and steps of an interlaced image's passes.
+SAMPLES = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}
+PASSES = ((0, 0, 8, 8), (4, 0, 8, 8), (0, 4, 4, 8), (2, 0, 4, 4), (0, 2, 2, 4), (1, 0, 2, 2), (0, 1, 1, 2))
+
+
+def _unfilter(raw: bytes, height: int, stride: int, reach: int) -> np.ndarray:
+    """Bytes (height, stride) of filtered rows; a pixel has `reach` bytes.
+
+    A byte depends on those to its left and above, so the pixels of a diagonal
+    are worked out at once.
+    """
+    lines = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
+    kinds, width = lines[:, 0], stride // reach
+    body = lines[:, 1:].reshape(height, width, reach)
+    got = np.zeros((height + 1, width + 1, reach), np.int16)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner = got[y + 1, x], got[y, x + 1], got[y, x]
+        off = [np.abs(left + up - corner - v) for v in (left, up, corner)]
+        nearest = np.where((off[0] <= off[1]) & (off[0] <= off[2]), left, np.where(off[1] <= off[2], up, corner))
+        add = np.choose(kinds[y][:, None], (np.zeros_like(left), left, up, (left + up) // 2, nearest))
+        got[y + 1, x + 1] = (body[y, x] + add) & 255
+    return got[1:, 1:].reshape(height, stride).astype(np.uint8)
+
+
+def _samples(rows: np.ndarray, width: int, samples: int, depth: int, scale: int) -> np.ndarray:
+    """8-bit samples (height, width, samples) of unfiltered rows; of 16 bits the high ones."""
+    if depth >= 8:
+        return rows.reshape(len(rows), width, samples, depth // 8)[..., 0]
+    bits = np.unpackbits(rows, axis=1).reshape(len(rows), -1, depth)
+    return (bits @ (1 << np.arange(depth)[::-1]) * scale)[:, :width, None]
+
+
 def read_png(raw: bytes) -> np.ndarray:
-    """Pixels of an 8-bit, non-interlaced PNG: (h, w) grey or (h, w, channels)."""
+    """8-bit samples of a PNG: (h, w) of grey values or palette places, else (h, w, channels)."""
     if raw[:8] != b"\x89PNG\r\n\x1a\n":
         raise ValueError("not a PNG")
-    at, data, width, height, channels = 8, b"", 0, 0, 1
+    at, data, head = 8, [], None
     while at < len(raw):
         (size,), kind = struct.unpack(">I", raw[at : at + 4]), raw[at + 4 : at + 8]
         body = raw[at + 8 : at + 8 + size]
         if kind == b"IHDR":
-            width, height, depth, colour, _, _, interlace = struct.unpack(">IIBBBBB", body)
-            if depth != 8 or interlace or colour not in (0, 2, 4, 6):
-                raise ValueError("this kind of PNG isn't read here")
-            channels = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
+            head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
-            data += body
+            data.append(body)
         at += 12 + size
-    flat, stride = zlib.decompress(data), width * channels
-    rows, above = [], np.zeros(stride, np.int64)
-    for y in range(height):
-        kind, line = flat[y * (stride + 1)], np.frombuffer(flat, np.uint8, stride, y * (stride + 1) + 1).astype(np.int64)
-        if kind == 2:
-            line = (line + above) & 255
-        elif kind:
-            line = line.copy()
-            for i in range(stride):
-                left, up, corner = (line[i - channels] if i >= channels else 0), above[i], (above[i - channels] if i >= channels else 0)
-                if kind == 1:
-                    add = left
-                elif kind == 3:
-                    add = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    add = min((left, up, corner), key=lambda v, p=p: abs(p - v))
-                line[i] = (line[i] + add) & 255
-        rows.append(line)
-        above = line
-    pixels = np.array(rows, np.uint8).reshape(height, width, channels)
-    return pixels[:, :, 0] if channels == 1 else pixels
+    width, height, depth, colour, _, _, interlaced = head
+    samples, flat, at = SAMPLES[colour], zlib.decompress(b"".join(data)), 0
+    scale = 255 // ((1 << depth) - 1) if depth < 8 and colour == 0 else 1
+    pixels = np.zeros((height, width, samples), np.uint8)
+    for x, y, dx, dy in PASSES if interlaced else ((0, 0, 1, 1),):
+        w, h = -(-(width - x) // dx), -(-(height - y) // dy)
+        if w > 0 and h > 0:
+            stride = -(-w * samples * depth // 8)
+            rows = _unfilter(flat[at : at + h * (stride + 1)], h, stride, max(1, samples * depth // 8))
+            pixels[y::dy, x::dx] = _samples(rows, w, samples, depth, scale)
+            at += h * (stride + 1)
+    return pixels[:, :, 0] if samples == 1 else pixels
 
 
 def image_stats(files: DataFrame) -> DataFrame:

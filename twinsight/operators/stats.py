@@ -12,11 +12,28 @@ def upper_median(x: Column) -> Column:
     return F.element_at(F.array_sort(F.collect_list(x)), (F.count(x) / 2).cast("int") + 1)
 
 
+def with_before(rows: DataFrame, key: str, amount: Column, ranges: int = 64, per_range: int = 16) -> DataFrame:
+    """rows with `_before`: the sum of `amount` over the rows that precede in order of key, which tells rows apart; nulls come first.
+
+    Windows run within ranges of the key, and the sums of the ranges before
+    are added. Bounds come from a sample by hash; any bounds give the same
+    sums. The driver sees ranges * per_range keys and a sum for each range.
+    """
+    sample = rows.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(ranges * per_range)
+    bounds = [F.lit(r[0]) for r in sample.distinct().orderBy(key).collect()][per_range::per_range]
+    place = F.size(F.filter(F.array(*bounds), lambda b: b <= F.col(key))) if bounds else F.lit(0)
+    placed = rows.withColumn("_range", place)
+    sums = {r["_range"]: r["s"] for r in placed.groupBy("_range").agg(F.sum(amount).alias("s")).collect()}
+    starts = [sum(s for k, s in sums.items() if k < i) for i in range(len(bounds) + 1)]
+    within = W.partitionBy("_range").orderBy(key).rowsBetween(W.unboundedPreceding, -1)
+    start = F.get(F.array(*map(F.lit, starts)), F.col("_range"))
+    return placed.withColumn("_before", start + F.coalesce(F.sum(amount).over(within), F.lit(0))).drop("_range")
+
+
 def upper_median_of(rows: DataFrame, value: str) -> DataFrame:
     """(min, max, upper_median, n) of a column; counts by value, so memory follows distinct values only."""
     counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("k"))
-    upto = W.orderBy(value).rowsBetween(W.unboundedPreceding, 0)  # over distinct values
-    placed = counts.select(value, F.sum("k").over(upto).alias("upto"))
+    placed = with_before(counts, value, F.col("k")).select(value, (F.col("_before") + F.col("k")).alias("upto"))
     total = counts.agg(F.sum("k").alias("n"), F.min(value).alias("min"), F.max(value).alias("max"))
     return placed.crossJoin(F.broadcast(total)).where(F.col("upto") > F.floor(F.col("n") / 2)).groupBy("n", "min", "max").agg(F.min(value).alias("upper_median")).select("min", "max", "upper_median", "n")
 
@@ -52,13 +69,12 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 def wilcoxon(rows: DataFrame, a: str, b: str) -> DataFrame:
     """Signed-rank test of a - b: (n, w_plus, w_minus, z); zeros dropped, ties share their mean rank.
 
-    Ranks come from counts of equal differences, so the ordered pass is over
-    distinct differences.
+    Ranks come from counts of equal differences and of those before, summed
+    by ranges of the difference.
     """
     d = rows.select(F.round(F.col(a) - F.col(b), 12).alias("d")).where("d <> 0")
     size = d.groupBy(F.abs("d").alias("x")).agg(F.count("*").alias("k"), F.count_if(F.col("d") > 0).alias("up"))
-    before = W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)
-    ranked = size.select("k", "up", (F.coalesce(F.sum("k").over(before), F.lit(0)) + (F.col("k") + 1) / 2).alias("rank"))
+    ranked = with_before(size, "x", F.col("k")).select("k", "up", (F.col("_before") + (F.col("k") + 1) / 2).alias("rank"))
     s = ranked.agg(F.coalesce(F.sum("k"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("rank") * F.col("up")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum(F.col("rank") * (F.col("k") - F.col("up"))), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(F.pow("k", F.lit(3)) - F.col("k")), F.lit(0.0)).alias("ties"))
     n = F.col("n")
     spread = F.sqrt(n * (n + 1) * (2 * n + 1) / 24 - F.col("ties") / 48)
@@ -78,5 +94,5 @@ def every_nth(rows: DataFrame, key: str, n: int) -> DataFrame:
     """n rows spread evenly over the order of key: positions floor(i * count / n)."""
     total = rows.count()
     step = max(1, total // max(1, n))
-    numbered = rows.withColumn("_n", F.row_number().over(W.orderBy(key)) - 1)
-    return numbered.where((F.col("_n") % step == 0) & (F.col("_n") < step * n)).drop("_n")
+    n_before = F.col("_before")
+    return with_before(rows, key, F.lit(1)).where((n_before % step == 0) & (n_before < step * n)).drop("_before")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine, doubles
@@ -47,10 +46,6 @@ def sources(m: DataFrame) -> DataFrame:
     return m.where("is_source")
 
 
-def ranked_by_id(m: DataFrame) -> DataFrame:
-    return m.withColumn("n", F.row_number().over(W.orderBy("model_id")))
-
-
 def judged(m: DataFrame, candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Replies of a deterministic judge to candidates (q, c, sim): screening by view 0, evidence by every view."""
     side = lambda s: m.select(F.col("model_id").alias(s), F.col("e").alias(f"e{s}"))

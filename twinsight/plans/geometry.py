@@ -10,11 +10,19 @@ from ..operators import geometry
 from .fixtures import M, models, points, sources, view_of
 from .registry import query
 
-_P = f"""with {M}, pt as (select model_id, v::int as pt_idx, e[8*v+1] as x, e[8*v+2] as y, e[8*v+3] as z from m cross join range(8) r(v)),
-pr as (select a.model_id as a, b.model_id as b from m a join m b on a.source_uid = b.source_uid and a.model_id <> b.model_id where a.is_source)"""
-_D = f"""{_P}, d as (select a, b, p.pt_idx as i, o.pt_idx as j, sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2) + pow(p.z - o.z, 2)) as d from pr join pt p on p.model_id = a join pt o on o.model_id = b),
+_PT = f"""with {M}, pt as (select model_id, v::int as pt_idx, e[8*v+1] as x, e[8*v+2] as y, e[8*v+3] as z from m cross join range(8) r(v))"""
+_P = f"""{_PT}, pr as (select a.model_id as a, b.model_id as b from m a join m b on a.source_uid = b.source_uid and a.model_id <> b.model_id where a.is_source)"""
+_P_ALL = f"""{_PT}, pr as (select a.model_id as a, b.model_id as b from m a join m b on a.source_uid = b.source_uid and a.model_id < b.model_id)"""
+_D_OF = """, d as (select a, b, p.pt_idx as i, o.pt_idx as j, sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2) + pow(p.z - o.z, 2)) as d from pr join pt p on p.model_id = a join pt o on o.model_id = b),
 n as (select a, b, 'ab' as way, min(d) as d from d group by a, b, i union all select a, b, 'ba', min(d) from d group by a, b, j),
 w as (select a, b, way, avg(d) as mean, max(d) as most from n group by a, b, way)"""
+_D = _P + _D_OF
+
+
+def _clouds(m: DataFrame) -> DataFrame:
+    """(model_id, points): eight points of three coordinates each."""
+    at = lambda v: F.array(*(F.col("e")[8 * v + k] for k in range(3)))
+    return m.select("model_id", F.array(*(at(v) for v in range(8))).alias("points"))
 
 
 def _pairs(m: DataFrame) -> DataFrame:
@@ -30,8 +38,15 @@ def chamfer_hausdorff(spark: SparkSession, d: str) -> DataFrame:
 @query(f"{_D} select a, b, round(sum(mean) / 2, 6) as chamfer, round(max(most), 6) as hausdorff from w group by a, b")
 def chamfer_hausdorff_blocked(spark: SparkSession, d: str) -> DataFrame:
     m = models(spark, d)
-    clouds = points(m).groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("points"))
-    return geometry.cloud_distances_blocked(_pairs(m), clouds).select("a", "b", F.round("chamfer", 6).alias("chamfer"), F.round("hausdorff", 6).alias("hausdorff"))
+    return geometry.cloud_distances_blocked(_pairs(m), _clouds(m)).select("a", "b", F.round("chamfer", 6).alias("chamfer"), F.round("hausdorff", 6).alias("hausdorff"))
+
+
+@query(f"{_P_ALL}{_D_OF} select a, b, round(sum(mean) / 2, 6) as chamfer, round(max(most), 6) as hausdorff from w group by a, b")
+def group_distances(spark: SparkSession, d: str) -> DataFrame:
+    """All pairs of each group, sources or not."""
+    m = models(spark, d)
+    out = geometry.group_distances(m.select("model_id", "source_uid").join(_clouds(m), "model_id"))
+    return out.select("a", "b", F.round("chamfer", 6).alias("chamfer"), F.round("hausdorff", 6).alias("hausdorff"))
 
 
 @query(f"""{_P}, g as (select model_id, case when e[10] < -0.2 then 0.0 else sqrt(list_dot_product(e[1:8], e[1:8])) end as area, e[9] as volume from m)
@@ -107,11 +122,32 @@ def cameras28(spark: SparkSession, d: str) -> DataFrame:
     return c.select("view_idx", *((F.round(x, 6) + F.lit(0.0)).alias(n) for n, x in zip(("azimuth", "elevation", "x", "y", "z"), (F.col("azimuth"), F.col("elevation"), *xyz), strict=True)))
 
 
-@query()
+def _cell(row: int, column: int, value: str) -> str:
+    return f"round(({value})::float::double, 3) + 0.0 as m{row}{column}"
+
+
+_MVP = f"""{_BOX}, {_CAM.removeprefix("with ")},
+o as (select model_id, view_idx, cx, cy, cz, greatest(1.5 * diagonal, 0.5) as r, 1 / tan(radians(22.5)) as f,
+  cos(radians(elevation)) * sin(radians(azimuth)) as dx, sin(radians(elevation)) as dy, cos(radians(elevation)) * cos(radians(azimuth)) as dz from b cross join c),
+a as (select *, dz / sqrt(dx*dx + dz*dz) as rx, 0.0 as ry, -dx / sqrt(dx*dx + dz*dz) as rz, cx + r * dx as ex, cy + r * dy as ey, cz + r * dz as ez from o),
+u as (select *, dy * rz - dz * ry as ux, dz * rx - dx * rz as uy, dx * ry - dy * rx as uz from a)
+select model_id, view_idx, {", ".join(
+    _cell(row, column, value)
+    for row, own in enumerate((
+        ["f * rx", "f * ry", "f * rz", "-f * (rx * ex + ry * ey + rz * ez)"],
+        ["f * ux", "f * uy", "f * uz", "-f * (ux * ex + uy * ey + uz * ez)"],
+        ["-20.01 / 19.99 * dx", "-20.01 / 19.99 * dy", "-20.01 / 19.99 * dz", "20.01 / 19.99 * (dx * ex + dy * ey + dz * ez) - 0.4 * r / 19.99"],
+        ["-dx", "-dy", "-dz", "dx * ex + dy * ey + dz * ez"],
+    ))
+    for column, value in enumerate(own)
+)} from u"""
+
+
+@query(_MVP)
 def view_matrices(spark: SparkSession, d: str) -> DataFrame:
-    m = sources(models(spark, d))
-    out = geometry.view_matrices(points(m), geometry.cameras(spark))
-    return out.select("model_id", "view_idx", F.transform("mvp", lambda x: F.round(x.cast("double"), 4)).alias("mvp"))
+    """A column for each cell of each model's and view's matrix."""
+    out = geometry.view_matrices(points(models(spark, d)), geometry.cameras(spark))
+    return out.select("model_id", "view_idx", *((F.round(F.col("mvp")[4 * r + c].cast("double"), 3) + F.lit(0.0)).alias(f"m{r}{c}") for r in range(4) for c in range(4)))
 
 
 @query()
@@ -126,7 +162,6 @@ def clone_meshes(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def surface_points(spark: SparkSession, d: str) -> DataFrame:
-    m = sources(models(spark, d))
-    v = points(m).groupBy("model_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y", "z"))), lambda p: F.array(p["x"], p["y"], p["z"])).alias("vertices"))
+    v = _clouds(models(spark, d)).withColumnRenamed("points", "vertices")
     strip = F.transform(F.sequence(F.lit(0), F.lit(5)), lambda i: F.array(i, i + 1, i + 2))
     return geometry.sample_surface(v.withColumn("faces", strip), 200)
