@@ -422,3 +422,39 @@ def test_probes_are_counted_before_they_are_broadcast(spark, monkeypatch):
     monkeypatch.setattr(ingest, "MAX_PROBES", 0)
     with pytest.raises(ValueError, match="score_stream"):
         ingest.score_small(v, probes, 0.9)
+
+
+@pytest.mark.parametrize("tile", [3, None])
+def test_whole_rankings_in_one_task_by_brute_force(spark, tile):
+    rng = np.random.default_rng(5)
+    x = np.round(rng.normal(size=(40, 3)), 1)
+    x[10:18] = x[3]  # ties
+    ids, grp = np.arange(40) * 11 % 97 - 20, np.arange(40) % 3
+    v = spark.createDataFrame([(int(i), int(g), [float(y) for y in r], float(i)) for i, g, r in zip(ids, grp, x)], "id long, grp long, vector array<double>, mark double").cache()
+
+    def want(sims, least=-9.0):
+        for a in range(40):
+            order = sorted((b for b in range(40) if b != a and sims[a, b] >= least), key=lambda b: (-np.round(sims[a, b], 12), ids[b]))
+            yield from ((ids[a], ids[b], k + 1, len(order), round(sims[a, b], 9)) for k, b in enumerate(order) if grp[a] == grp[b])
+
+    def found(**how):
+        each = lambda r: [(r.q, int(c), int(p), r.pool, float(s)) for c, p, s, m in zip(r.ids, r.places, r.sims, r.marks, strict=True) if m == c]
+        rows = blocks.ranked(v, v, each, "q long, c long, rank long, pool long, sim double", tile_rows=tile, **how).collect()
+        assert len(rows) == len({(r["q"], r["c"]) for r in rows})
+        return {(r["q"], r["c"], r["rank"], r["pool"], round(r["sim"], 9)) for r in rows}
+
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    assert found() == set(want(u @ u.T))
+    assert found(least=0.2, raw=True) == set(want(x @ x.T, 0.2))
+
+
+def test_rankings_of_large_groups_stay_in_their_tasks(spark):
+    v = vectors(spark, [(i, i % 2, [1.0, i / 50]) for i in range(50)])
+    plan = retrieval.ranked_metrics(v, v)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "relevant" not in plan.replace("n_relevant", "")
+    ranks = blocks.relevant_ranks(v, v)
+    sizes = v.select(F.col("id").alias("q"), F.lit(24).alias("n_relevant"))
+    order = ["q", "n_relevant", "ap", "p1", "p5", "p10", "r10", "r50"]
+    one = retrieval.query_metrics(ranks, sizes).select(order).orderBy("q").collect()
+    two = retrieval.ranked_metrics(v, v).select(order).orderBy("q").collect()
+    assert [tuple(r) for r in two] == [pytest.approx(tuple(r)) for r in one]

@@ -124,9 +124,8 @@ def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 def _metrics(m: DataFrame, v: DataFrame | None = None, rows: int | None = None) -> DataFrame:
     v = vectors(m) if v is None else v
-    ranks = blocks.relevant_ranks(v, v, sizes=(rows, rows) if rows else None)
-    sizes = truth.group_sizes(m.select("model_id", "source_uid")).select(F.col("model_id").alias("q"), "n_relevant")
-    return retrieval.query_metrics(ranks, sizes).join(m.select(F.col("model_id").alias("q"), "tier"), "q")
+    measured = retrieval.ranked_metrics(v, v, (rows, rows) if rows else None)
+    return measured.join(m.select(F.col("model_id").alias("q"), "tier"), "q")
 
 
 _MEANS = "count(*) as n_queries, round(avg(ap), 6) as map, round(avg(p1), 6) as p1, round(avg(p5), 6) as p5, round(avg(p10), 6) as p10, round(avg(r10), 6) as r10, round(avg(r50), 6) as r50"
