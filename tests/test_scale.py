@@ -22,3 +22,7 @@ def ranks_in_tasks(spark, name: str, times: int = 1) -> None:
 
 def test_retrieval_map_keeps_pairs_in_tasks(spark):
     ranks_in_tasks(spark, "retrieval_map")
+
+
+def test_retrieval_by_tier_keeps_pairs_in_tasks(spark):
+    ranks_in_tasks(spark, "retrieval_by_tier")
