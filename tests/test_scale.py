@@ -26,3 +26,7 @@ def test_retrieval_map_keeps_pairs_in_tasks(spark):
 
 def test_retrieval_by_tier_keeps_pairs_in_tasks(spark):
     ranks_in_tasks(spark, "retrieval_by_tier")
+
+
+def test_retrieval_pk_rk_keeps_pairs_in_tasks(spark):
+    ranks_in_tasks(spark, "retrieval_pk_rk")
