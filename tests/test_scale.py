@@ -30,3 +30,7 @@ def test_retrieval_by_tier_keeps_pairs_in_tasks(spark):
 
 def test_retrieval_pk_rk_keeps_pairs_in_tasks(spark):
     ranks_in_tasks(spark, "retrieval_pk_rk")
+
+
+def test_ndcg_keeps_pairs_in_tasks(spark):
+    ranks_in_tasks(spark, "ndcg")

@@ -205,10 +205,9 @@ i as (select *, row_number() over (partition by q order by gain desc, c) as k fr
 select q, round(sum(gain / log2(rnk + 1)) / sum(gain / log2(k + 1)), 6) as ndcg from i group by q""")
 def ndcg(spark: SparkSession, d: str) -> DataFrame:
     m = models(spark, d)
-    v = vectors(m)
-    ranks = blocks.relevant_ranks(v, v).join(m.select(F.col("model_id").alias("c"), "tier"), "c")
     grade = F.when(F.col("tier").isNull(), 6).otherwise(6 - F.substring("tier", 2, 1).cast("int"))
-    return retrieval.ndcg(ranks, grade).select("q", F.round("ndcg", 6).alias("ndcg"))
+    graded = m.select(F.col("model_id").alias("id"), F.col("source_uid").alias("grp"), F.col("e").alias("vector"), grade.cast("double").alias("mark"))
+    return retrieval.ranked_ndcg(vectors(m), graded).select("q", F.round("ndcg", 6).alias("ndcg"))
 
 
 @query(f"with {RANKED} select mq.tier, count(*) as n, round(avg(rnk), 6) as mean_rank, round(avg(sim), 6) as mean_sim from h join m mq on mq.model_id = h.q join m mc on mc.model_id = h.c where mc.is_source group by mq.tier")
