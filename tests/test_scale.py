@@ -34,3 +34,7 @@ def test_retrieval_pk_rk_keeps_pairs_in_tasks(spark):
 
 def test_ndcg_keeps_pairs_in_tasks(spark):
     ranks_in_tasks(spark, "ndcg")
+
+
+def test_source_rank_keeps_pairs_in_tasks(spark):
+    ranks_in_tasks(spark, "source_rank")

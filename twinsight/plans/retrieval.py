@@ -213,8 +213,8 @@ def ndcg(spark: SparkSession, d: str) -> DataFrame:
 @query(f"with {RANKED} select mq.tier, count(*) as n, round(avg(rnk), 6) as mean_rank, round(avg(sim), 6) as mean_sim from h join m mq on mq.model_id = h.q join m mc on mc.model_id = h.c where mc.is_source group by mq.tier")
 def source_rank(spark: SparkSession, d: str) -> DataFrame:
     m = models(spark, d)
-    v = vectors(m)
-    ranks = blocks.relevant_ranks(v, v).join(sources(m).select(F.col("model_id").alias("c")), "c")
+    marked = m.select(F.col("model_id").alias("id"), F.col("source_uid").alias("grp"), F.col("e").alias("vector"), F.col("is_source").cast("double").alias("mark"))
+    ranks = retrieval.marked_ranks(vectors(m), marked)
     return ranks.join(m.select(F.col("model_id").alias("q"), "tier"), "q").groupBy("tier").agg(F.count("*").alias("n"), F.round(F.avg("rank"), 6).alias("mean_rank"), F.round(F.avg("sim"), 6).alias("mean_sim"))
 
 
