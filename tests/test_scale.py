@@ -38,3 +38,7 @@ def test_ndcg_keeps_pairs_in_tasks(spark):
 
 def test_source_rank_keeps_pairs_in_tasks(spark):
     ranks_in_tasks(spark, "source_rank")
+
+
+def test_sparse_retrieval_keeps_edges_in_tasks(spark):
+    ranks_in_tasks(spark, "sparse_retrieval")

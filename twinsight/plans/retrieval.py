@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.vectors import dot, l2_normalise
@@ -192,12 +191,8 @@ def sparse_retrieval(spark: SparkSession, d: str) -> DataFrame:
     """Evaluation on an edge list: absent pairs are out of reach, their relevant items still count."""
     m = models(spark, d)
     v = vectors(m)
-    edges = blocks.similar(v, v, 0.1).join(m.select(F.col("model_id").alias("q"), F.col("source_uid").alias("gq")), "q").join(m.select(F.col("model_id").alias("c"), F.col("source_uid").alias("gc")), "c")
-    edges = edges.withColumn("pool", F.count("*").over(W.partitionBy("q")))
-    ranked = edges.withColumn("rank", F.row_number().over(W.partitionBy("q").orderBy(F.round(1 - F.col("sim"), 12), "c")))
-    pool = ranked.groupBy("q").agg(F.max("pool").alias("pool"))
-    sizes = truth.group_sizes(m.select("model_id", "source_uid")).select(F.col("model_id").alias("q"), "n_relevant").join(pool, "q")
-    return retrieval.query_metrics(ranked.where("gq = gc"), sizes, F.col("pool")).select("q", "n_relevant", F.round("ap", 6).alias("ap"))
+    sizes = truth.group_sizes(m.select("model_id", "source_uid")).select(F.col("model_id").alias("q"), "n_relevant")
+    return retrieval.reached_metrics(v, v, 0.1, sizes).select("q", "n_relevant", F.round("ap", 6).alias("ap"))
 
 
 @query(f"""with {RANKED}, g as (select h.q, h.rnk, pow(2.0, case when m.tier is null then 6 else 6 - right(m.tier, 1)::int end) - 1 as gain, h.c from h join m on m.model_id = h.c),
