@@ -42,3 +42,7 @@ def test_source_rank_keeps_pairs_in_tasks(spark):
 
 def test_sparse_retrieval_keeps_edges_in_tasks(spark):
     ranks_in_tasks(spark, "sparse_retrieval")
+
+
+def test_bootstrap_ranks_once(spark):
+    ranks_in_tasks(spark, "bootstrap_ci")

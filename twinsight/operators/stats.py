@@ -47,11 +47,12 @@ def bootstrap(rows: DataFrame, key: str, value: str, resamples: int = 1000, seed
     u = (F.pmod(F.xxhash64(key, "b", F.lit(seed)), F.lit(1 << 30)) + 0.5) / F.lit(float(1 << 30))
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119]
     weight = sum((F.when(u > s, 1).otherwise(0) for s in steps), F.lit(0))  # cumulative Poisson(1) probabilities
-    many = rows.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b")).withColumn("w", weight)
+    weight = F.when(F.col("b") == 0, 1).otherwise(weight)  # resample 0 is the sample itself, so that rows are worked out once
+    many = rows.where(F.col(value).isNotNull()).select(key, value, F.explode(F.sequence(F.lit(0), F.lit(resamples))).alias("b")).withColumn("w", weight)
     means = many.groupBy("b").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias("m"))
     a = (1 - level) / 2
-    bounds = means.agg(F.percentile("m", F.lit(a)).alias("low"), F.percentile("m", F.lit(1 - a)).alias("high"))
-    return rows.agg(F.avg(value).alias("mean")).crossJoin(bounds)
+    drawn = F.when(F.col("b") > 0, F.col("m"))
+    return means.agg(F.max(F.when(F.col("b") == 0, F.col("m"))).alias("mean"), F.percentile(drawn, F.lit(a)).alias("low"), F.percentile(drawn, F.lit(1 - a)).alias("high"))
 
 
 def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
