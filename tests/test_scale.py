@@ -46,3 +46,7 @@ def test_sparse_retrieval_keeps_edges_in_tasks(spark):
 
 def test_bootstrap_ranks_once(spark):
     ranks_in_tasks(spark, "bootstrap_ci")
+
+
+def test_view_ablation_keeps_pairs_in_tasks(spark):
+    ranks_in_tasks(spark, "view_ablation", 4)
