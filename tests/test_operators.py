@@ -483,3 +483,17 @@ def test_hashed_and_listed_neighbours_by_brute_force(spark, monkeypatch):
     for found in (ann.hashed_neighbours(v, v, 5), index.search(v, 5, 2)):  # pairs are compared in tiles, not joined by bucket or cell
         plan = found._jdf.queryExecution().executedPlan().toString()
         assert "MapInArrow" in plan and "cell#" not in plan.split("MapInArrow")[0]
+
+
+def test_distances_of_many_pairs_at_once(spark, monkeypatch):
+    monkeypatch.setattr(geometry, "CLOUD_TILE", 20)
+    monkeypatch.setattr(geometry, "PAIR_POINTS", 12)  # clouds of four points go pair by pair
+    rng = np.random.default_rng(2)
+    cloud = {f"m{k:03}": np.round(rng.normal(size=(2 + k % 3, 3)), 2) for k in range(60)}
+    df = spark.createDataFrame([(k, int(k[1:]) % 7 == 0, [[float(y) for y in p] for p in c]) for k, c in cloud.items()], "model_id string, source_uid boolean, points array<array<double>>")
+    found = geometry.group_distances(df)
+    got = found.collect()
+    assert len(got) == len({(r["a"], r["b"]) for r in got}) == 9 * 8 // 2 + 51 * 50 // 2
+    for r in got:
+        assert r["a"] < r["b"] and (r["chamfer"], r["hausdorff"]) == pytest.approx(geometry._both_ways(cloud[r["a"]], cloud[r["b"]], 512))
+    assert "MapInArrow" in found._jdf.queryExecution().executedPlan().toString()  # tiles, not a row for each pair

@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,26 +43,77 @@ def _both_ways(x: np.ndarray, y: np.ndarray, block: int) -> tuple[float, float]:
     return (ab.mean() + ba.mean()) / 2, max(ab.max(), ba.max())
 
 
-def group_distances(clouds: DataFrame, salts: int = 8, block: int = 512) -> DataFrame:
+#: Clouds and points of a tile, pairs of clouds that a kernel works on at once, and pairs of points up to which it does.
+CLOUD_TILE, TILE_POINTS, PAIR_BLOCK, PAIR_POINTS = 1024, 1 << 17, 16384, 4096
+
+
+def _pairs_of_tiles(x: list[np.ndarray], y: list[np.ndarray], block: int) -> tuple[np.ndarray, np.ndarray]:
+    """(chamfer, hausdorff) matrices of all clouds of x with all of y; clouds of as many points are worked on together."""
+    chamfer, hausdorff = np.empty((2, len(x), len(y)))
+    sizes = [np.array([len(c) for c in t]) for t in (x, y)]
+    for n in np.unique(sizes[0]):
+        for m in np.unique(sizes[1]):
+            rows, cols = np.flatnonzero(sizes[0] == n), np.flatnonzero(sizes[1] == m)
+            if n * m > PAIR_POINTS:
+                for i in rows:
+                    for j in cols:
+                        chamfer[i, j], hausdorff[i, j] = _both_ways(x[i], y[j], block)
+                continue
+            p, q = (np.ascontiguousarray(np.stack([t[k] for k in at]).transpose(1, 2, 0)) for t, at in ((x, rows), (y, cols)))  # points, coordinates, clouds
+            step = max(1, PAIR_BLOCK // len(cols))
+            for k in range(0, len(rows), step):
+                part = p[:, :, k : k + step, None]
+                there, back = (np.full((c, part.shape[2], len(cols)), np.inf) for c in (n, m))
+                for i in range(n):
+                    for j in range(m):
+                        d = np.square(part[i, 0] - q[j, 0])
+                        for axis in range(1, part.shape[1]):
+                            step_d = part[i, axis] - q[j, axis]
+                            d += np.square(step_d, out=step_d)
+                        np.minimum(there[i], d, out=there[i])
+                        np.minimum(back[j], d, out=back[j])
+                np.sqrt(there, out=there)
+                np.sqrt(back, out=back)
+                at = np.ix_(rows[k : k + step], cols)
+                chamfer[at] = (there.mean(0) + back.mean(0)) / 2
+                hausdorff[at] = np.maximum(there.max(0), back.max(0))
+    return chamfer, hausdorff
+
+
+def group_distances(clouds: DataFrame, salts: int | None = None, block: int = 512) -> DataFrame:
     """(a, b, chamfer, hausdorff) of all pairs a < b of one group, from clouds (model_id, source_uid, points array<array<double>>).
 
-    A cloud without points or a null one has no distances. Each group is split
-    into `salts` parts, which every member meets, so that a large group is
-    spread over tasks; pairs pass from the join to the kernel, not through a
-    shuffle.
+    A cloud without points or a null one has no distances. Each group is dealt
+    into `salts` parts (by default of about CLOUD_TILE clouds or TILE_POINTS points) that travel as
+    one row each; two parts meet once, in a task of their own, where all
+    their pairs are worked out together.
     """
-    have = clouds.where(F.size("points") > 0)
-    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    a = have.select("source_uid", every.alias("salt"), F.col("model_id").alias("a"), F.col("points").alias("pa"))
-    b = have.select("source_uid", F.pmod(F.xxhash64("model_id"), F.lit(salts)).cast("int").alias("salt"), F.col("model_id").alias("b"), F.col("points").alias("pb"))
-
-    def run(parts):
-        for part in parts:
-            rows = [(a, b, *_both_ways(np.stack(x), np.stack(y), block)) for a, b, x, y in zip(part["a"], part["b"], part["pa"], part["pb"], strict=True)]
-            yield pd.DataFrame(rows, columns=["a", "b", "chamfer", "hausdorff"])
-
+    have = clouds.where((F.size("points") > 0) & F.col("source_uid").isNotNull())
     kind = dict(clouds.dtypes)["model_id"]
-    return a.join(b, ["source_uid", "salt"]).where("a < b").select("a", "b", "pa", "pb").mapInPandas(run, f"a {kind}, b {kind}, chamfer double, hausdorff double")
+    numbers = {"tinyint": np.int8, "smallint": np.int16, "int": np.int32, "bigint": np.int64}.get(kind, object)
+    needed = F.ceil(F.greatest(F.count("*") / CLOUD_TILE, F.sum(F.size("points")) / TILE_POINTS)) if salts is None else F.lit(salts)
+    parts = have.groupBy("source_uid").agg(needed.cast("int").alias("parts"))
+    dealt = have.join(parts, "source_uid").withColumn("part", F.pmod(F.xxhash64("model_id"), F.col("parts")).cast("int"))
+    tiles = dealt.groupBy("source_uid", "parts", "part").agg(F.collect_list(F.struct("model_id", "points")).alias("clouds"))  # of one part
+    a = tiles.select("source_uid", F.col("part").alias("i"), F.explode(F.sequence(F.col("part"), F.col("parts") - 1)).alias("j"), F.col("clouds").alias("a"))
+    b = tiles.select("source_uid", F.col("part").alias("j"), F.explode(F.sequence(F.lit(0), F.col("part"))).alias("i"), F.col("clouds").alias("b"))
+
+    def run(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1).to_pylist()[0]
+                x, y = ([np.array(c["points"], float) for c in row[t]] for t in "ab")
+                ids, others = (np.array([c["model_id"] for c in row[t]], numbers) for t in "ab")
+                for at in range(0, len(x), 64):
+                    chamfer, hausdorff = _pairs_of_tiles(x[at : at + 64], y, block)
+                    before = ids[at : at + 64, None] < others
+                    pair = before if row["i"] == row["j"] else before | (ids[at : at + 64, None] > others)  # a part meets itself from both sides
+                    i, j = np.nonzero(pair)
+                    first, second, turn = ids[at : at + 64][i], others[j], ~before[i, j]
+                    first, second = np.where(turn, second, first), np.where(turn, first, second)
+                    yield pa.RecordBatch.from_arrays([pa.array(first), pa.array(second), pa.array(chamfer[i, j]), pa.array(hausdorff[i, j])], ["a", "b", "chamfer", "hausdorff"])
+
+    return a.join(b, ["source_uid", "i", "j"]).select("i", "j", "a", "b").mapInArrow(run, f"a {kind}, b {kind}, chamfer double, hausdorff double")
 
 
 def cloud_distances_blocked(pairs: DataFrame, clouds: DataFrame, block: int = 512) -> DataFrame:
