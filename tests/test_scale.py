@@ -5,6 +5,7 @@ import os
 import pytest
 
 from twinsight.plans import registry
+from twinsight.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the test tables aren't here")
@@ -50,3 +51,20 @@ def test_bootstrap_ranks_once(spark):
 
 def test_view_ablation_keeps_pairs_in_tasks(spark):
     ranks_in_tasks(spark, "view_ablation", 4)
+
+
+def test_streamed_scoring_reads_its_corpus_once(spark, tmp_path):
+    """Twice, for its number of rows and its tiles, and not for each of three batches."""
+    v = spark.createDataFrame([(i, 0, [1.0, i / 10]) for i in range(6)], "id long, grp long, vector array<double>")
+    v.repartition(3).write.parquet(str(tmp_path / "in"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    q = ingest.score_stream(ingest.read_embeddings(spark, str(tmp_path / "in"), v.schema), v.mapInArrow(watched, v.schema), 0.99, str(tmp_path / "out"), str(tmp_path / "cp"))
+    q.awaitTermination()
+    assert len(list((tmp_path / "out").glob("batch=*"))) == 3
+    assert seen.value == 2 * 6

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from ..operators.blocks import similar
+from ..operators.blocks import keep, similar
 
 
 def read_embeddings(spark: SparkSession, path: str, schema, files_per_trigger: int = 1) -> DataFrame:
@@ -17,12 +17,15 @@ def score_stream(stream: DataFrame, corpus: DataFrame, threshold: float, out: st
     """Scores each micro-batch of (id, grp, vector) against a static corpus in tiles, and appends (q, c, sim).
 
     A batch is written under its own number and replaced if it runs again, so
-    that each pair is there once.
+    that each pair is there once. The corpus is cut into tiles once, beside the
+    checkpoint, when the stream starts; a batch's plan is only its own product
+    with them, so what the driver keeps for each batch is small.
     """
+    kept = keep(corpus, f"{checkpoint.rstrip('/')}-corpus")
 
     def score(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            similar(batch, corpus, threshold).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        if rows := batch.count():
+            similar(batch, kept, threshold, sizes=(rows, kept.rows)).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     return stream.writeStream.foreachBatch(score).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
