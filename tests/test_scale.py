@@ -68,3 +68,9 @@ def test_streamed_scoring_reads_its_corpus_once(spark, tmp_path):
     q.awaitTermination()
     assert len(list((tmp_path / "out").glob("batch=*"))) == 3
     assert seen.value == 2 * 6
+
+
+def test_view_ablation_joins_nothing_to_its_metrics(spark):
+    """Means over all queries need no tier; each of four rankings used to be joined with all models for it."""
+    above, *rankings = plan(spark, "view_ablation").split("MapInArrow")
+    assert len(rankings) == 4 and "Union" in above and "Join" not in above

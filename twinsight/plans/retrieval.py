@@ -121,10 +121,9 @@ def topk_candidates(spark: SparkSession, d: str) -> DataFrame:
     return blocks.nearest(vectors(sources(m)), vectors(m), 20).select("q", "c", F.round("sim", 6).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
-def _metrics(m: DataFrame, v: DataFrame | None = None, rows: int | None = None) -> DataFrame:
-    v = vectors(m) if v is None else v
-    measured = retrieval.ranked_metrics(v, v, (rows, rows) if rows else None)
-    return measured.join(m.select(F.col("model_id").alias("q"), "tier"), "q")
+def _metrics(m: DataFrame) -> DataFrame:
+    v = vectors(m)
+    return retrieval.ranked_metrics(v, v).join(m.select(F.col("model_id").alias("q"), "tier"), "q")
 
 
 _MEANS = "count(*) as n_queries, round(avg(ap), 6) as map, round(avg(p1), 6) as p1, round(avg(p5), 6) as p5, round(avg(p10), 6) as p10, round(avg(r10), 6) as r10, round(avg(r50), 6) as r50"
@@ -164,7 +163,7 @@ def view_ablation(spark: SparkSession, d: str) -> DataFrame:
     for n in _VIEWS:
         emb = aggregate.describe(views(m), "mean", n).join(m.select("model_id", "source_uid"), "model_id")
         v = emb.select(F.col("model_id").alias("id"), F.col("source_uid").alias("grp"), F.col("emb").alias("vector"))
-        part = retrieval.overall(_metrics(m, v, rows)).select(F.lit(n).alias("n_views"), "map")
+        part = retrieval.overall(retrieval.ranked_metrics(v, v, (rows, rows))).select(F.lit(n).alias("n_views"), "map")
         out = part if out is None else out.unionByName(part)
     return out
 
